@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
-from . import components, cooccur, heavy
+from . import components, cooccur, heavy, leak, mix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -55,8 +55,28 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequent(spark, sf_dir, 0.001)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that hold 12 consecutive words of a test item, and the items."""
+    return leak.leaked(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "eval_item", "item_id", "item_text"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = _read(spark, sf_dir, "source_target", "source", "target_share", "max_repeat")
+    return mix.mix_sources(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), targets), targets
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the largest mix with exact target shares, and how often each is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in that mix."""
+    return mix.mix_report(*_mix(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_record_groups, p2_found, p2_pairs, p4_found, p4_counts)}
+    return {f.__name__: f for f in (p1_found, p1_record_groups, p2_found, p2_pairs, p4_found, p4_counts, p8_found, p9_mix, p9_report)}
 
 
 def oracle_sql() -> dict[str, str]:
