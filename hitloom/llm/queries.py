@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
-from . import components, cooccur, heavy, leak, mix
+from . import components, cooccur, heavy, leak, mix, pii
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -75,8 +75,18 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(*_mix(spark, sf_dir))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal information in messages, by type, exactly as it stands."""
+    return pii.find_pii(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with typed placeholders for personal information."""
+    return pii.redact_pii(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_record_groups, p2_found, p2_pairs, p4_found, p4_counts, p8_found, p9_mix, p9_report)}
+    return {f.__name__: f for f in (p1_found, p1_record_groups, p2_found, p2_pairs, p4_found, p4_counts, p8_found, p9_mix, p9_report, p10_found, p10_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
