@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import counting, problems
 
-_MODULES = (problems,)
+_MODULES = (counting, problems)
 
 
 def queries() -> dict:
