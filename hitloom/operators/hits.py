@@ -29,7 +29,8 @@ def hit_array(names: str = "ref_names", **others: str) -> Column:
     Hits with a null or blank name are dropped, names are stripped, and a shorter parallel array leaves nulls.
     Null for a null list of names.
     """
-    zipped = F.arrays_zip(F.col(names).alias("ref_name"), *(F.col(c).alias(f) for f, c in others.items()))
+    # A null array would make the whole zip null, so it stands for one without elements.
+    zipped = F.arrays_zip(F.col(names).alias("ref_name"), *(F.coalesce(F.col(c), F.array()).alias(f) for f, c in others.items()))
     clean = F.transform(zipped, lambda h: F.struct(strip(h["ref_name"]).alias("ref_name"), *(h[f].alias(f) for f in others)))
     return F.filter(F.when(F.col(names).isNotNull(), clean), lambda h: h["ref_name"].isNotNull() & (h["ref_name"] != ""))
 

@@ -37,7 +37,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _name_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Names of fanse_record with the mismatches of their hit, by frequency; the number of all names."""
     rows = _read(spark, sf_dir, "fanse_record").select("ref_names", "mismatches")
-    hits = rows.select(F.explode(F.arrays_zip(F.col("ref_names").alias("name"), F.col("mismatches").alias("value"))).alias("h")).select(clean(F.col("h.name")).alias("name"), "h.value")
+    hits = rows.select(F.explode(F.arrays_zip(F.col("ref_names").alias("name"), F.coalesce("mismatches", F.array()).alias("value"))).alias("h")).select(clean(F.col("h.name")).alias("name"), "h.value")
     total = rows.select(F.sum(F.size(clean_names(F.coalesce("ref_names", F.array().cast("array<string>")))))).first()[0] or 0
     return hotkeys.weighted_values(hits, F.col("name"), F.col("value")), total
 

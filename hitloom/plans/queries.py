@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import counting, problems
+from . import alignments, counting, problems
 
-_MODULES = (counting, problems)
+_MODULES = (counting, alignments, problems)
 
 
 def queries() -> dict:
