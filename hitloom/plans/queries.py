@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignments, counting, problems
+from . import alignments, annotation, counting, problems
 
-_MODULES = (counting, alignments, problems)
+_MODULES = (counting, alignments, annotation, problems)
 
 
 def queries() -> dict:
