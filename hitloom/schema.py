@@ -21,15 +21,21 @@ REFERENCE = _struct(ref_name=_S, seq=_S, length=_I, ref_ord=_L)
 SAM = _struct(line_no=_L, qname=_S, flag=_I, rname=_S, pos=_L, mapq=_I, cigar=_S, rnext=_S, pnext=_L, tlen=_L, seq=_S, qual=_S, tags=T.ArrayType(_S))
 FEATURE = _struct(line_no=_L, seqid=_S, source=_S, feature=_S, start=_L, end=_L, score=_S, strand=_S, phase=_S, attributes=_S)
 
-# Column names of the annotation files, in file order.
+# Columns of the annotation files, in file order. In the files the gene id is "geneName" and the display name
+# "genename"; as names here don't differ by case alone, they are genename and symbol, all in lower case.
 REFFLAT_COLUMNS = (
-    "geneName txname chrom strand txStart txEnd cdsStart cdsEnd exonCount exonStarts exonEnds genename g_biotype t_biotype protein_id txLength "
-    "isoformEffectiveLength cdsLength utr5Length utr3Length genelongesttxLength genelongestcdsLength geneEffectiveLength geneNonOverlapLength geneReadCoveredLength description"
+    "genename txname chrom strand txstart txend cdsstart cdsend exoncount exonstarts exonends symbol g_biotype t_biotype protein_id txlength "
+    "isoformeffectivelength cdslength utr5length utr3length genelongesttxlength genelongestcdslength geneeffectivelength genenonoverlaplength genereadcoveredlength description"
 ).split()
+REFFLAT_FILE_NAMES = {"genename": "geneName", "symbol": "genename"} | {
+    c.lower(): c
+    for c in (
+        "txStart txEnd cdsStart cdsEnd exonCount exonStarts exonEnds txLength isoformEffectiveLength cdsLength utr5Length utr3Length "
+        "genelongesttxLength genelongestcdsLength geneEffectiveLength geneNonOverlapLength geneReadCoveredLength"
+    ).split()
+}
 REFFLAT_DEFAULT = (
-    "geneName txname chrom strand txStart txEnd cdsStart cdsEnd exonCount exonStarts exonEnds symbol g_biotype t_biotype description protein_id txLength "
-    "cdsLength utr5Length utr3Length genelongesttxLength genelongestcdsLength geneEffectiveLength geneNonOverlapLength geneReadCoveredLength"
+    "genename txname chrom strand txstart txend cdsstart cdsend exoncount exonstarts exonends symbol g_biotype t_biotype description protein_id txlength "
+    "cdslength utr5length utr3length genelongesttxlength genelongestcdslength geneeffectivelength genenonoverlaplength genereadcoveredlength"
 ).split()
-REFFLAT_INTS = frozenset(
-    "txStart txEnd cdsStart cdsEnd exonCount txLength isoformEffectiveLength cdsLength utr5Length utr3Length genelongesttxLength genelongestcdsLength geneEffectiveLength geneNonOverlapLength geneReadCoveredLength".split()
-)
+REFFLAT_INTS = frozenset(c for c in REFFLAT_COLUMNS if c.endswith(("start", "end", "length", "count")))
