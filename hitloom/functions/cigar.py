@@ -27,8 +27,8 @@ def cigar(alignment: Column, reverse: Column) -> Column:
 
 def cigar_by_op(alignment: Column, reverse: Column) -> Column:
     """Run-length CIGAR by *operation*: inserted ``AC`` gives ``2I``."""
-    a = F.regexp_replace(_on_reference(alignment, reverse), r"[^.x\-\p{L}]", "S")
-    ops = F.translate(F.regexp_replace(F.regexp_replace(a, r"(?!x|S)\p{L}", "I"), "S", "s"), ".x-s", "MXDS")
+    a = F.regexp_replace(_on_reference(alignment, reverse), r"(?!x)\p{L}", "I")
+    ops = F.translate(F.regexp_replace(a, r"[^.x\-I]", "S"), ".x-", "MXD")
     one = lambda r: F.concat(F.length(r).cast("string"), F.substring(r, 1, 1))
     return F.array_join(F.transform(_runs(ops), one), "")
 
