@@ -16,10 +16,10 @@ def strip_id(value: Column) -> Column:
 
 def gtf_attribute(attributes: Column, key: str) -> Column:
     """Value of ``key "value";``, the last one if repeated; null if absent."""
-    return F.element_at(F.regexp_extract_all(attributes, F.lit(rf'(?<!\w){key}\s+"([^"]*)";'), F.lit(1)), -1)
+    return F.try_element_at(F.regexp_extract_all(attributes, F.lit(rf'(?<!\w){key}\s+"([^"]*)";'), F.lit(1)), F.lit(-1))
 
 
 def gff3_attribute(attributes: Column, key: str) -> Column:
     """Value of ``key=value`` up to the next ``;``, the last one if repeated, without a known prefix; null if absent."""
     found = F.regexp_extract_all(F.concat(F.lit(";"), attributes), F.lit(rf";\s*{key}=([^;]*)"), F.lit(1))
-    return strip_id(F.trim(F.element_at(found, -1)))
+    return strip_id(F.trim(F.try_element_at(found, F.lit(-1))))
