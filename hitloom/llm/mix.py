@@ -122,8 +122,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
     repetitions; the fraction beyond them goes to the documents first in a seeded order, up to the size wanted, so a source
     falls short by less than one document. No document is used more than ``max_repeat`` times.
 
-    Documents of no or another source, with a null or empty text or not chosen are left out; repeated rows count as
-    documents of their own. Empty tables give an empty result.
+    Documents of no or another source, with a null or empty text or not chosen are left out. Rows that repeat an id (null
+    ids too) are one document, in case they differ the one with the smallest source and number of tokens. Empty tables
+    give an empty result.
 
     The order is a hash of the id; sizes are added up by source and the order's first ``BUCKET_BITS`` bits, and only the one
     bucket of each source that holds the cut is sorted.
@@ -134,6 +135,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
     rows = docs.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("src"), F.col(text).alias("text")).where(F.col("src").isin(*goal) if goal else F.lit(False))
     rows = count_tokens(rows, "text", path).where(F.col("n_tokens") > 0)
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    # Rows that repeat an id are one document. This also keeps the bucket of the cut small whatever is repeated.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("src", "n_tokens")).alias("d")).select("doc_id", "d.*")
     rows = cut_lineage(rows.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")))
     histogram = rows.groupBy("src", "bucket").agg(F.sum("n_tokens").alias("tokens")).collect()  # at most MAX_SOURCES << BUCKET_BITS rows
     sizes: dict[str, int] = {}
