@@ -71,7 +71,7 @@ def weights(unique_counts: DataFrame, lengths: DataFrame) -> DataFrame:
     """
     rpk = unique_counts.join(lengths.where(F.col("length") > 0), "key").select(BY, "key", (F.col("n") / (F.col("length") / 1000.0)).alias("rpk")).where(F.col("rpk") > 0)
     total = rpk.groupBy(BY).agg(F.sum("rpk").alias("total"))
-    return rpk.join(F.broadcast(total), BY).select(BY, "key", (F.col("rpk") * 1e6 / F.col("total")).alias("tpm"))
+    return rpk.join(total, BY).select(BY, "key", (F.col("rpk") * 1e6 / F.col("total")).alias("tpm"))
 
 
 def _weighted(combos: DataFrame, tpm: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def add_quant_columns(wide: DataFrame, key: str, columns: Sequence[str], lengths
     out = wide.join(lengths.withColumnRenamed("key", key), key, "left").fillna(0.0, ["length", "eff_length"])
     kb = {c: _per_kb(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.col("eff_length")) for c in present}
     sums = out.groupBy(*by).agg(*[F.sum(kb[c]).alias(f"rpk_sum_{c}") for c in present], *[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(f"n_sum_{c}") for c in present])
-    out = out.join(sums, list(by)) if by else out.crossJoin(F.broadcast(sums))
+    out = out.join(sums, list(by))
     for c in present:
         if methods in ("tpm", "both"):
             out = out.withColumn(f"TPM_{c}", F.when(F.col(f"rpk_sum_{c}") > 0, kb[c] * 1e6 / F.col(f"rpk_sum_{c}")).otherwise(0.0))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignments, annotation, counting, problems
+from . import alignments, annotation, counting, problems, utilities
 
-_MODULES = (counting, alignments, annotation, problems)
+_MODULES = (counting, alignments, annotation, utilities, problems)
 
 
 def queries() -> dict:

@@ -37,7 +37,8 @@ def _typed(rows: DataFrame, columns: list[str]) -> DataFrame:
     out = out.withColumns({c: F.expr(f"try_cast(nullif(trim({c}), '') as double)").cast("long") for c in columns if c in REFFLAT_INTS})
     if "isoformeffectivelength" in columns:
         out = out.withColumn("isoformeffectivelength", F.coalesce("isoformeffectivelength", "txlength", F.lit(0).cast("long")))
-    places = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x) != "").cast("array<bigint>")
+    # try_cast, as Spark may evaluate this before the rows of comments are filtered out.
+    places = lambda c: F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).try_cast("bigint"))
     zipped = F.arrays_zip(places("exonstarts").alias("s"), places("exonends").alias("e"))
     return out.withColumn("exons", F.filter(zipped, lambda x: x["s"].isNotNull() & x["e"].isNotNull()))
 
