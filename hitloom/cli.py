@@ -15,7 +15,7 @@ from .sinks import files, tables
 from .sources import annotation, counts, fastx, paths, records
 from .sources import sam as sam_source
 
-RECORD_FILES = (".fanse3", ".fanse3.gz", ".fanse3.zip", ".fanse", ".txt")
+RECORD_FILES = None  # any file name
 
 
 def _records(spark: SparkSession, inputs: str) -> DataFrame:

@@ -131,6 +131,12 @@ def summary(combos: DataFrame, lengths: DataFrame) -> DataFrame:
     return out.withColumn("final_em", F.col("unique_mapped") + F.col("multi_em")).withColumn("final_eq", F.col("unique_mapped") + F.col("multi_equal"))
 
 
+def multi_mapped_reads(records: DataFrame, names: str = "ref_names", read: str = "header", by: str = BY) -> DataFrame:
+    """``(sample_id, key, read)``: the reads of each combination of several names, one row per read, so that no combination's reads are gathered."""
+    rows = records.select(F.col(by).alias(BY), F.col(read).alias("read"), clean_names(F.col(names)).alias("ids")).where(_multi())
+    return rows.select(BY, F.array_join("ids", ",").alias("key"), "read")
+
+
 def lengths_of(annotation: DataFrame, mode: str = "txlength", key: str = "txname") -> DataFrame:
     """``(key, length)`` of transcripts: the first column there is of ``mode``, txlength, isoformeffectivelength and cdslength."""
     have = {c.lower(): c for c in annotation.columns}

@@ -67,11 +67,17 @@ def _ids(s: SparkSession, d: str) -> DataFrame:
     return transcripts(s, d).select("txname", strip_id(prefixed).alias("value"))
 
 
+def _classes(s: SparkSession, d: str) -> DataFrame:
+    each = transcripts(s, d).select("txname", F.size("exons").alias("k"), F.posexplode("exons").alias("i", "x"))
+    kind, colour = annotate.exon_class(F.col("i"), F.col("k"))
+    return each.select("txname", F.col("i").alias("exon"), kind.alias("kind"), colour.alias("colour"), annotate.exon_class(F.col("i"), F.col("k"), "position")[1].alias("gradient"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "interval_union": _union_length, "interval_intersection": _intersection, "gene_metrics": _metrics, "gene_read_covered": _covered, "exon_strings": _strings, "rna_coordinates": _rna,
         "exon_bed": lambda s, d: tracks.exon_bed(transcripts(s, d)), "bed12": lambda s, d: tracks.bed12(transcripts(s, d)), "exon_gtf": lambda s, d: tracks.exon_gtf(annotate.rna_coordinates(transcripts(s, d))),
-        "unified_gtf": lambda s, d: tracks.unified_gtf(transcripts(s, d)), "validators": _validate, "extract_id": _ids,
+        "unified_gtf": lambda s, d: tracks.unified_gtf(transcripts(s, d)), "validators": _validate, "extract_id": _ids, "exon_class": _classes,
     }
 
 
@@ -116,6 +122,7 @@ def oracle_sql() -> dict[str, str]:
           union all {gtf('exon', 's + 1', 'e', ids + " || '; ' || " + " || '; ' || ".join((q('exon_number', 'i0 + 1'), q('exon_id', exon_id), q('color', clamp))))} from ex
           union all {gtf('CDS', 'cdsstart + 1', 'cdsend', ids + " || '; ' || " + q('protein_id', 'protein_id'), '0')} from tx where cdsstart < cdsend
           union all {gtf('five_prime_UTR', '1', 'utr5length', ids)} from tx where utr5length > 0 union all {gtf('three_prime_UTR', 'txlength - utr3length + 1', 'txlength', ids)} from tx where utr3length > 0""",
+        "exon_class": f"{with_tx} select txname, i0::int as exon, case when i0 = 0 then 'first' when i0 = len(exons) - 1 then 'last' else 'middle' end as kind, case when i0 = 0 then '255,100,100' when i0 = len(exons) - 1 then '100,100,255' else '100,255,100' end as colour, {clamp} as gradient from ex",
         "extract_id": f"{with_tx} select txname, case when coalesce(txlength, 0) % 5 = 3 then 'mRNA:' else '' end || txname as value from tx",
         "validators": "select true as non_overlap_ok, true as covered_ok",
     }

@@ -132,6 +132,7 @@ def queries() -> dict[str, Query]:
         "isoform_multi_equal": _iso(count.multi_equal), "isoform_tpm_unique": _tpm,
         "isoform_multi_em": _iso_len(lambda c, n: count.multi_em(c, count.weights(count.unique(c), n))), "isoform_unallocated": _iso_len(lambda c, n: count.multi_em_unallocated(c, count.weights(count.unique(c), n))),
         "isoform_final_em": _iso_len(count.final_em), "isoform_final_eq": _iso(count.final_eq), "isoform_final_ma": _iso(count.final_ma), "count_summary": _summary,
+        "multi_mapping_info": lambda s, d: count.multi_mapped_reads(I.records(s, d, "sample_id", "header", "ref_names")),
         "gene_combo_class": _class, "gene_unique_to_gene": _gene(gene.unique_to_gene), "gene_first_id": _gene(gene.first_id), "gene_unique_to_isoform": _gene(gene.unique_to_isoform), "gene_unique_split": _split,
         "gene_multi_to_gene": _multi_to_gene, "gene_multi_equal": _gene(gene.multi_equal), "gene_multi_em": _gene_len(gene.multi_em), "gene_unallocated": _gene_len(gene.multi_em_unallocated),
         "gene_final_em": _gene_len(gene.final_em), "gene_final_eq": _gene(gene.final_eq), "gene_final_ma": _gene(gene.final_ma), "gene_final_ma_counted": _final_ma_counted, "gene_ratios": _ratios,
@@ -211,6 +212,7 @@ def oracle_sql() -> dict[str, str]:
         "isoform_tpm_unique": sql("select sample_id, key, round(tpm, 4) as tpm from iso_w", "iso_w"), "isoform_multi_em": _n("iso_em"), "isoform_unallocated": _n("iso_lost"),
         "isoform_final_em": _n("iso_fem"), "isoform_final_eq": _n("iso_feq"),
         "isoform_final_ma": sql("select sample_id, key, sum(n)::double as n from (select * from iso_u union all select * from iso_ma) group by all", "iso_u", "iso_ma"), "count_summary": sql(summary, "iso_lost", "iso_eq", "iso_em"),
+        "multi_mapping_info": sql("select sample_id, array_to_string(list_transform(h, lambda x: x.ref), ',') as key, header as read from rec where len(h) > 1", "rec"),
         "gene_combo_class": sql("select sample_id, array_to_string(ids, ',') as ids, n, array_to_string(genes, ',') as genes, first_gene from cls", "cls"), "gene_unique_to_gene": _n("gen_u"),
         "gene_first_id": sql("select sample_id, first_gene as key, sum(n)::double as n from cls where first_gene is not null group by all", "cls"),
         "gene_unique_to_isoform": sql("select sample_id, genes[1] as key, sum(n)::double as n from cls where len(ids) = 1 group by all", "cls"), "gene_unique_split": sql(split, "cls", "iso_u"),

@@ -17,7 +17,7 @@ from ..session import checkpoint_dir
 from ..sources.records import from_lines
 
 
-def stream_records(spark: SparkSession, folder: str, pattern: str = "*.fanse3") -> DataFrame:
+def stream_records(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Records of files that appear in ``folder``; a file is taken as a whole, once."""
     files = spark.readStream.option("wholetext", True).option("pathGlobFilter", pattern).format("text").load(folder)
     lines = files.select(F.col("_metadata.file_name").alias("file_name"), F.split(F.replace("value", F.lit("\r"), F.lit("")), "\n").alias("l"))

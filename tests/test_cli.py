@@ -14,26 +14,26 @@ def read(folder):
 
 def test_commands(spark, tmp_path):
     d = str(tmp_path)
-    (tmp_path / "a.fanse3").write_text(RECORDS)
+    (tmp_path / "a.rec").write_text(RECORDS)
     (tmp_path / "a.gtf").write_text(GTF)
     (tmp_path / "r.fa").write_text(">t1\nACGTACGTAC\n>t2\nGGGGGGGG\n")
     run = lambda *a: cli.main([*a], spark)
-    run("count", "-i", f"{d}/a.fanse3", "-o", f"{d}/c", "--annotation", f"{d}/a.gtf", "--level", "both", "--format", "all")
+    run("count", "-i", f"{d}/a.rec", "-o", f"{d}/c", "--annotation", f"{d}/a.gtf", "--level", "both", "--format", "all")
     assert "g1" in read(f"{d}/c/gene_unique") and "t1,t2" in read(f"{d}/c/isoform_unique") and "750000" not in read(f"{d}/c/salmon_genes")
     assert read(f"{d}/c/rsem_genes").startswith("gene_id,length,effective_length,expected_count")
     with pytest.raises(SystemExit):
-        run("count", "-i", f"{d}/a.fanse3", "-o", f"{d}/x", "--level", "gene")
-    run("sam", "-i", f"{d}/a.fanse3", "-o", f"{d}/s.sam", "-r", f"{d}/r.fa", "--region", "t2:0-8,zz", "--sort", "coord")
+        run("count", "-i", f"{d}/a.rec", "-o", f"{d}/x", "--level", "gene")
+    run("sam", "-i", f"{d}/a.rec", "-o", f"{d}/s.sam", "-r", f"{d}/r.fa", "--region", "t2:0-8,zz", "--sort", "coord")
     assert [x.split("\t")[:4] for x in read(f"{d}/s.sam").splitlines()] == [["h1", "0", "t1", "1"], ["h1", "272", "t2", "4"]]
     assert open(f"{d}/s.sam.header").read().splitlines()[2:] == ["@SQ\tSN:t1\tLN:10", "@SQ\tSN:t2\tLN:8"]
     (tmp_path / "in.sam").write_text(open(f"{d}/s.sam.header").read() + read(f"{d}/s.sam"))
     run("sort", "-i", f"{d}/in.sam", "-o", f"{d}/sorted", "--by", "name")
     assert read(f"{d}/sorted") == read(f"{d}/s.sam")
-    run("bed", "-i", f"{d}/a.fanse3", "-o", f"{d}/bed", "-n", "1")
+    run("bed", "-i", f"{d}/a.rec", "-o", f"{d}/bed", "-n", "1")
     assert read(f"{d}/bed").splitlines() == ["t1\t0\t5\t#h1\t0\t+", "t2\t3\t8\t#h1\t0\t-"]
-    run("fastx", "-i", f"{d}/a.fanse3", "-o", f"{d}/fx", "--to", "fastq")
+    run("fastx", "-i", f"{d}/a.rec", "-o", f"{d}/fx", "--to", "fastq")
     assert "@h2\nAC\n+\nII\n" in read(f"{d}/fx")
-    run("mpileup", "-i", f"{d}/a.fanse3", "-o", f"{d}/pile", "-r", f"{d}/r.fa", "--min-depth", "1")
+    run("mpileup", "-i", f"{d}/a.rec", "-o", f"{d}/pile", "-r", f"{d}/r.fa", "--min-depth", "1")
     assert "t1\t2\tC\t2\tCA\t??" in read(f"{d}/pile")
     (tmp_path / "S.counts_gene_level_unique.csv").write_text("Gene,Final_EM\ng1,3\ng2,1\n")
     run("quant", "-i", f"{d}/S.counts_gene_level_unique.csv", "-o", f"{d}/q", "--annotation", f"{d}/a.gtf", "--matrix")

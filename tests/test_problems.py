@@ -47,7 +47,7 @@ def test_parse_table(spark):
 
 
 def test_text_with_quoted_breaks(spark, tmp_path):
-    p = tmp_path / "a.fanse3"
+    p = tmp_path / "a.rec"
     p.write_bytes(b'h1\tACG\r\nF\ta\t1\t5\t1\r\n\r\n"h\n2"\tACG\nF\ta\t1\t5\t1\n"open\tACG\nF\ta\t1\t5\t1\nh4\tACG\n')
     valid, bad = rejects.load_text(spark, str(p))
     assert [(r.record_no, r.header) for r in valid.orderBy("record_no").collect()] == [(0, "h1"), (1, "h\n2")]

@@ -14,7 +14,7 @@ TEXT = "h1 x\tACGT\t....,..x.\nF,R\tt1,t2\t1\t5,6\t2\nh2\tAC\nF\tt,3\t0\t7\t1\n\
 
 
 def test_records(spark, tmp_path):
-    plain, packed, archive = tmp_path / "a.fanse3", tmp_path / "b.fanse3.gz", tmp_path / "c.fanse3.zip"
+    plain, packed, archive = tmp_path / "a.rec", tmp_path / "b.rec.gz", tmp_path / "c.rec.zip"
     plain.write_text(TEXT)
     with gzip.open(packed, "wt") as f:
         f.write(TEXT.replace("\n", "\r\n"))
@@ -35,7 +35,7 @@ def test_records(spark, tmp_path):
 
 
 def test_record_ranges_of_any_size(spark, tmp_path):
-    p = tmp_path / "a.fanse3"
+    p = tmp_path / "a.rec"
     p.write_text("".join(f"head{i}\t{'ACGT' * (i % 7 + 1)}\nF\tt{i}\t0\t{i}\t1\n" for i in range(300)))
     for size in (7, 31, 64, 1000):
         got = records.read_record_ranges(spark, [str(p)], size).select("header", "ref_names").collect()
@@ -67,10 +67,10 @@ def test_sam_and_counts(spark, tmp_path):
 
 
 def test_paths(tmp_path):
-    for n in ("a.fanse3", "b.FANSE3", "c.txt"):
+    for n in ("a.rec", "b.FANSE3", "c.txt"):
         (tmp_path / n).write_text("")
     d = str(tmp_path)
-    assert paths.resolve_inputs(f'"{d}/b.FANSE3", {d}', [".fanse3"]) == [f"{d}/b.FANSE3", f"{d}/a.fanse3"]
+    assert paths.resolve_inputs(f'"{d}/b.FANSE3", {d}', [".rec"]) == [f"{d}/b.FANSE3", f"{d}/a.rec"]
     assert paths.resolve_inputs(f"{d}/*.txt") == [f"{d}/c.txt"] and paths.resolve_inputs("") == []
     with pytest.warns(UserWarning):
         assert paths.resolve_inputs(f"{d}/none.x") == []
@@ -153,13 +153,13 @@ def test_stream(spark, tmp_path):
 
     folder, seen = tmp_path / "in", {}
     folder.mkdir()
-    (folder / "a.fanse3").write_text("h\tA\nF\tt1\t0\t1\t1\nh\tA\nF,F\tt1,t2\t0\t1,2\t2\n")
+    (folder / "a.rec").write_text("h\tA\nF\tt1\t0\t1\t1\nh\tA\nF,F\tt1,t2\t0\t1,2\t2\n")
     sink = lambda df, _: seen.update({(r.sample_id, tuple(r.ids)): r.n for r in df.collect()})
     for more in (None, "h\tA\nF\tt1\t0\t1\t1\n"):
         if more:
-            (folder / "b.fanse3").write_text(more)
+            (folder / "b.rec").write_text(more)
         incremental.count_stream(incremental.stream_records(spark, str(folder)), sink, str(tmp_path / "state")).awaitTermination()
-    assert seen == {("a.fanse3", ("t1",)): 1, ("a.fanse3", ("t1", "t2")): 1, ("b.fanse3", ("t1",)): 1}
+    assert seen == {("a.rec", ("t1",)): 1, ("a.rec", ("t1", "t2")): 1, ("b.rec", ("t1",)): 1}
     lengths = spark.createDataFrame([("t1", 100.0)], "key string, length double")
     incremental.final_em_sink(lengths, str(tmp_path / "out"))(spark.createDataFrame([("a", ["t1"], 1), ("a", ["t1", "t2"], 1)], "sample_id string, ids array<string>, n long"), 0)
     assert spark.read.parquet(str(tmp_path / "out")).first().n == 2.0

@@ -118,3 +118,28 @@ def test_sam_utilities(spark):
     moved = df.where("qname != 'q3'").withColumn("pos", F.col("pos") + F.when(F.col("qname") == "q2", 500).otherwise(1)).withColumn("mapq", F.lit(60))
     n = {r["class"]: r.n for r in samutil.compare_alignments(df, moved).collect()}
     assert len(n) == 10 and {k: v for k, v in n.items() if v} == {"consistent low high": 1, "inconsistent low high": 1, "second missing low": 1}
+
+
+def test_consensus(spark):
+    rows = [("c", 2, "A", ".", ".", "FQ=-40;MQ=20;DP=9", None, None), ("c", 3, "A", "G", ".", "FQ=-10.6;AF1=1;MQ=20;DP=9", None, None), ("c", 4, "G", "A", ".", "FQ=20;MQ=20;DP=9", None, None), ("c", 4, "GT", "G", ".", "x", None, None), ("c", 30, "C", ".", ".", "FQ=-200;MQ=3;DP=9", None, None), ("c", 125, "T", "C", ".", "FQ=-40;AF1=0.2;MQ=20;DP=9", None, None)]
+    sites, gaps = variants.vcf_bases(vcf(spark, rows), window=1)
+    lines = {r.line: (r.seq, r.qual) for r in variants.consensus_lines(sites, gaps).collect()}
+    assert lines[0] == ("nAGr" + "n" * 25 + "c" + "n" * 30, "!I,5" + "!" * 25 + "~" + "!" * 30)
+    assert lines[1] == ("n" * 60, "!" * 60) and lines[2] == ("nnnnT", "!!!!I")
+    text = [r.value for r in variants.consensus_fastq(variants.consensus_lines(sites, gaps)).collect()]
+    assert text[0] == "@c" and text[4] == "+" and len(text) == 8
+    plp = spark.createDataFrame([("c", 1, "a", "R", 30, 0, 60, 9), ("c", 2, "A", "A", 30, 0, 9, 9), ("c", 2, "*", "+A/+A", 30, 90, 60, 9), ("c", 14, "A", "T", 30, 0, 60, 9)], "chrom string, pos long, base string, call string, cons_qual int, snp_qual int, mapq int, depth int")
+    sites, gaps = variants.pileup_bases(plp, window=6)
+    assert [r.seq for r in variants.consensus_lines(sites, gaps).collect()] == ["ra" + "n" * 11 + "T"]
+
+
+def test_pileup_filter(spark):
+    kind = "line_no long, chrom string, pos long, base string, call string, cons_qual int, snp_qual int, mapq int, depth int, first string, second string, n_first int, n_second int"
+    snp = lambda i, pos, call="G", q=50, mapq=60, depth=9, chrom="c": (i, chrom, pos, "A", call, 9, q, mapq, depth, None, None, None, None)
+    gap = lambda i, pos, call="*/-AC", q=50, n=5: (i, "c", pos, "*", call, 9, q, 60, 9, "*", call[2:], 4, n)
+    rows = [snp(0, 1, "a"), snp(1, 10), snp(2, 100, depth=1), snp(3, 200, mapq=3), snp(4, 300, depth=1000), snp(5, 400), snp(6, 405), snp(7, 410), gap(8, 500), snp(9, 511), snp(10, 514), gap(11, 600, q=9), gap(12, 620), snp(13, 700), gap(14, 705), gap(15, 800, "*/*"), snp(16, 810, chrom="d")]
+    df = spark.createDataFrame(rows, kind)
+    code = {r.line_no: r.code for r in variants.filter_pileup(df).collect()}
+    assert code == {1: "", 2: "d", 3: "Q", 4: "D", 5: "W", 6: "W", 7: "W", 8: "", 9: "G", 10: "", 11: "g", 12: "", 13: "G", 14: "", 16: ""}
+    strict = {r.line_no: r.code for r in variants.filter_pileup(df, variants.PileupFilter(min_snp_quality=60, min_indel_quality=60)).collect()}
+    assert strict[1] == "s" and strict[8] == "i"
