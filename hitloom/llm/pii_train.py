@@ -15,7 +15,7 @@ import random
 
 from .pii import AMBIGUOUS, TYPES, WEIGHTS, Gazetteer, Model, Span, candidates
 
-LINES, EPOCHS, RATE, L2, SEED, KNOWN = 40000, 14, 0.3, 2e-5, 12, 1.0
+LINES, EPOCHS, RATE, L2, SEED, KNOWN = 40_000, 14, 0.3, 2e-5, 11, 0.93
 
 ONSETS = "b br c d dr f fr g gr h j k kl l m n p pr r s st t tr v w z sh".split()
 VOWELS = "a e i o u ai ei ou ia".split()
