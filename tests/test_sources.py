@@ -67,10 +67,10 @@ def test_sam_and_counts(spark, tmp_path):
 
 
 def test_paths(tmp_path):
-    for n in ("a.rec", "b.FANSE3", "c.txt"):
+    for n in ("a.rec", "b.REC", "c.txt"):
         (tmp_path / n).write_text("")
     d = str(tmp_path)
-    assert paths.resolve_inputs(f'"{d}/b.FANSE3", {d}', [".rec"]) == [f"{d}/b.FANSE3", f"{d}/a.rec"]
+    assert paths.resolve_inputs(f'"{d}/b.REC", {d}', [".rec"]) == [f"{d}/b.REC", f"{d}/a.rec"]
     assert paths.resolve_inputs(f"{d}/*.txt") == [f"{d}/c.txt"] and paths.resolve_inputs("") == []
     with pytest.warns(UserWarning):
         assert paths.resolve_inputs(f"{d}/none.x") == []
@@ -163,3 +163,15 @@ def test_stream(spark, tmp_path):
     lengths = spark.createDataFrame([("t1", 100.0)], "key string, length double")
     incremental.final_em_sink(lengths, str(tmp_path / "out"))(spark.createDataFrame([("a", ["t1"], 1), ("a", ["t1", "t2"], 1)], "sample_id string, ids array<string>, n long"), 0)
     assert spark.read.parquet(str(tmp_path / "out")).first().n == 2.0
+
+
+def test_windowed_loads(spark, tmp_path):
+    from hitloom.streaming import incremental
+
+    rows = [("S1", "2031-01-01 01:00:00"), ("S1", "2031-01-01 23:00:00"), ("S2", "2031-01-02 00:00:00"), ("S1", None)]
+    df = spark.createDataFrame(rows, "sample_id string, t string").select("sample_id", F.col("t").cast("timestamp_ntz").alias("run_at"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = incremental.windowed_loads(stream).writeStream.outputMode("complete").format("memory").queryName("loads").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.sample_id, str(r.window.start), r.n) for r in spark.table("loads").collect()) == [("S1", "2031-01-01 00:00:00", 2), ("S2", "2031-01-02 00:00:00", 1)]
