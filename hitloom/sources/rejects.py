@@ -69,7 +69,12 @@ class LineParser:
 
 
 def _number(text: str, least: int = 0) -> int:
-    if not _DIGITS.fullmatch(text) or not least <= (n := int(text)):
+    """A number of digits only; those too long to be counted with come out as a very large one."""
+    if not _DIGITS.fullmatch(text):
+        raise Refused(text)
+    digits = text.lstrip("0")
+    n = int(digits or "0") if len(digits) < 100 else 1 << 300
+    if n < least:
         raise Refused(text)
     return n
 

@@ -28,7 +28,7 @@ GOOD = ("h\tACG", "F,R\ta,b\t1\t5,6\t2")
         (" \tACG", GOOD[1], "value"), ("h\t", GOOD[1], "value"), ("h\tACX", GOOD[1], "value"), ("h\tacgtn", "F\ta\t1\t5\t1", None), (GOOD[0], "F,X\ta,b\t1\t5,6\t2", "value"), (GOOD[0], "F,R\ta, \t1\t5,6\t2", "value"),
         (GOOD[0], "F,R\ta\t1\t5,6\t2", "value"), (GOOD[0], "F,R\ta,b\t1,1\t5,6\t2", "value"), (GOOD[0], "F,R\ta,b\t-1\t5,6\t2", "value"), (GOOD[0], "F,R\ta,b\t1\t5,٣\t2", "value"), (GOOD[0], "F,R\ta,b\t1\t5,6\t0", "value"),
         (GOOD[0], f"F\ta\t1\t{2**63}\t1", "value"), (GOOD[0], f"F\ta\t1\t{2**63 - 1}\t1", None), ("h\tACG\t...,.-x.", GOOD[1], None), ("h\tACG\t...", GOOD[1], "value"), ("h\tACG\t...,....", GOOD[1], "value"), ("h\tACG\t...,..a", GOOD[1], "value"),
-        ("h\rx\tACG", GOOD[1], None), (GOOD[0], f"F,R\ta,b\t1\t5,6\t{10**30}", None), ("h" * 300_000 + "\tACG", GOOD[1], None),
+        ("h\rx\tACG", GOOD[1], None), (GOOD[0], f"F,R\ta,b\t1\t5,6\t{10**30}", None), (GOOD[0], "F,R\ta,b\t1\t5,6\t" + "9" * 6000, None), (GOOD[0], "F\ta\t1\t" + "9" * 6000 + "\t1", "value"), (GOOD[0], "F\ta\t1\t" + "0" * 6000 + "7\t1", None), ("h" * 300_000 + "\tACG", GOOD[1], None),
     ],
 )
 def test_reasons(head, hits, want):
