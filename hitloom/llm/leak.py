@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .mailtext import _WORD, words
 
 #: Test items whose patterns go to the tasks at once; more items are searched in several blocks of this size.
@@ -81,7 +82,8 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     Null and empty texts hold nothing; items of fewer than ``length`` words (or null) are in no document; a passage that is
     part of several items gives each of them. Repeated documents give one row per id and item.
     """
-    spark, docs = docs.sparkSession, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    spark = docs.sparkSession
+    docs = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
     wanted = items.where(F.col(item_text).isNotNull()).select(item_id, item_text)
     kind = dict(items.select(F.col(item_id).alias("i")).dtypes)["i"]
     types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import clean
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 #: Bits of the sampling order that the histogram per source has.
 BUCKET_BITS = 12
@@ -133,7 +133,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
     if len(goal) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = docs.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("src"), F.col(text).alias("text")).where(F.col("src").isin(*goal) if goal else F.lit(False))
-    rows = count_tokens(rows, "text", path).where(F.col("n_tokens") > 0)
+    rows = count_tokens(spread(rows), "text", path).where(F.col("n_tokens") > 0)
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     # Rows that repeat an id are one document. This also keeps the bucket of the cut small whatever is repeated.
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("src", "n_tokens")).alias("d")).select("doc_id", "d.*")
