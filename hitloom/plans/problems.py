@@ -82,7 +82,35 @@ def oracle_sql() -> dict[str, str]:
     genes = f"(select nullif(trim(genename, {ws}), '') as gene, raw from counts)"
     exons = f"""select nullif(trim(genename, {ws}), '') as genename, chrom, unnest(exonstarts_list[:n]) as s, unnest(exonends_list[:n]) as e
       from (select *, least(len(exonstarts_list), len(exonends_list)) as n from refflat)"""
+    field = '"(?:[^"]|"")*"|[^"\\t][^\\t]*|'
+    fields = lambda c: f"list_transform(regexp_extract_all(chr(9) || {c}, '\\t({field})', 1), lambda f: case when f like '\"%' then replace(f[2:-2], '\"\"', '\"') else f end)"
+    number = "regexp_full_match({0}, '[0-9]+') and try_cast({0} as bigint) is not null"
+    every = lambda c, test: f"len(list_filter(string_split({c}, ','), lambda x: not ({test}))) = 0"
+    value = f"""trim(a[1], {ws}) <> '' and regexp_full_match(a[2], '[ACGTNacgtn]+') and {every('b[1]', "x = 'F' or x = 'R'")} and {every('b[2]', f"trim(x, {ws}) <> ''")} and {number.format('b[3]')}
+      and {every('b[4]', number.format('x'))} and regexp_full_match(b[5], '0*[1-9][0-9]*') and len(string_split(b[1], ',')) = len(string_split(b[2], ',')) and len(string_split(b[2], ',')) = len(string_split(b[4], ','))
+      and (len(a) = 2 or a[3] = '' or (len(string_split(a[3], ',')) = len(string_split(b[2], ',')) and {every('a[3]', "regexp_full_match(x, '[-.x*ACGTN]*') and length(replace(x, '-', '')) = length(a[2])")}))"""
+    quoted = f"(?:{field})(?:\\t(?:{field}))*"
+    raw = f"""(select raw_id, case when bad then 'quoting' when len(a) not in (2, 3) or len(b) <> 5 then 'column_count' when not ({value}) then 'value' end as reason, a, b from
+      (select raw_id, not (regexp_full_match(h, '{quoted}') and regexp_full_match(x, '{quoted}')) as bad, case when h0 is null then [] else {fields('h')} end as a, case when x0 is null then [] else {fields('x')} end as b from
+      (select raw_id, rec_head as h0, rec_hits as x0, coalesce(rtrim(rec_head, chr(13) || chr(10)), '') as h, coalesce(rtrim(rec_hits, chr(13) || chr(10)), '') as x from fanse_raw)))"""
+    token = '"(?:[^"]|"")*"|\'\'(?:[^\'\']|\'\'\'\')*\'\'|[A-Za-z0-9._:-]+|\\s+|[^\\s]'
+    listed = " union all ".join(
+        f"select '{t}' as src_table, {k} as row_id, '{c}' as field_name, trim({c}, {ws}) as s from {t} where trim({c}, {ws}) <> ''"
+        for t, k, cs in (("fanse_packed", "packed_id", ("ref_names", "strands", "positions")), ("counts_isoform_level_multi", "row_id", ("transcripts",)))
+        for c in cs
+    )
+    packed_sql = f"""with f as (select *, row_number() over () as id from ({listed})),
+      t as (select * exclude s, unnest(tokens) as tok, generate_subscripts(tokens, 1) as i from (select *, regexp_extract_all(case when length(s) > 1 and s[1] || s[-1] in ('()', '[]', '{{}}') then s[2:-2] else s end, '{token}') as tokens from f)),
+      k as (select *, (length(tok) > 1 and tok[1] in (chr(34), chr(39))) or regexp_full_match(tok, '[A-Za-z0-9._:-]+') as val, not regexp_full_match(tok, '\\s+') as sign from t),
+      g as (select *, coalesce(sum(val::int) over (partition by id order by i rows between unbounded preceding and 1 preceding), 0) as gap from k),
+      n as (select id, gap, coalesce(sum(sign::int) filter (not val), 0) as signs from g group by id, gap),
+      p as (select id, gap, sum(case when gap = 0 then signs else greatest(1, signs) end) over (partition by id order by gap) as place from n),
+      v as (select g.*, place, case when tok[1] in (chr(34), chr(39)) then replace(tok[2:-2], tok[1] || tok[1], tok[1]) else tok end as value from g join p using (id, gap) where val)
+      select src_table, row_id, field_name, place::int as item_pos, value as item_value from v where trim(value, {ws}) <> ''"""
     return {
+        "p3_found": f"select raw_id, reason from {raw} where reason is not null",
+        "p3_records": f"select raw_id, a[1] as header, a[2] as seq, b[1] as strands, b[2] as ref_names, array_to_string(list_transform(string_split(b[4], ','), lambda x: b[3]::bigint), ',') as mismatches, array_to_string(list_transform(string_split(b[4], ','), lambda x: x::bigint), ',') as positions, b[5]::bigint as multi_count from {raw} where reason is null",
+        "p5_found": packed_sql,
         "p6_found": f"""select 'fanse_record' as src_table, name as key_value from {hits} where name is not null group by name
           having count(*) >= 0.02 * (select count(name) from {hits}) union all
           select 'counts', gene from {genes} where gene is not null group by gene having count(*) >= 0.02 * (select count(*) from counts)""",
