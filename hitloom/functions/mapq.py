@@ -23,14 +23,26 @@ class Scoring:
 
 def discretize(quality: Column) -> Column:
     """The greatest level not above ``quality``; 0 below all."""
-    out = F.lit(0)
-    for level in LEVELS:
-        out = F.when(quality >= level, level).otherwise(out)
-    return out
 
+    def level_of(q: Column) -> Column:
+        out = F.lit(0)
+        for level in LEVELS:
+            out = F.when(q >= level, level).otherwise(out)
+        return out
 
-def _count(s: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(s, pattern, ""))
+    # The lambda's variable holds the quality, so that it is worked out once and not for every level.
+    return F.get(F.transform(F.array(quality), level_of), F.lit(0))
+
+
+def _without(s: Column, *chars: str) -> Column:
+    """Length of ``s`` without ``chars``."""
+    for c in chars:
+        s = F.replace(s, F.lit(c), F.lit(""))
+    return F.length(s)
+
+
+def _count(s: Column, char: str) -> Column:
+    return F.length(s) - _without(s, char)
 
 
 def mapq(alignment: Column, primary: Column, multi_count: Column, scoring: Scoring = Scoring()) -> Column:
@@ -38,11 +50,11 @@ def mapq(alignment: Column, primary: Column, multi_count: Column, scoring: Scori
 
     A gap is a run of characters other than ``.`` and ``x``.
     """
-    matches, wrong = _count(alignment, r"[^.]"), _count(alignment, r"[^x]")
+    matches, wrong = _count(alignment, "."), _count(alignment, "x")
     gaps = F.regexp_extract_all(alignment, F.lit(r"[^.x]+"), F.lit(0))
     gap_chars = F.length(alignment) - matches - wrong
     score = scoring.match * matches + scoring.mismatch * wrong + scoring.gap_open * F.size(gaps) + scoring.gap_extend * (gap_chars - F.size(gaps))
-    best = (F.length(alignment) - _count(alignment, r"[^\-]")) * scoring.match
+    best = _without(alignment, "-") * scoring.match
     raw = score / best * scoring.most
     raw = F.when(multi_count > 1, raw - F.least(F.lit(60.0), F.log2(multi_count) * 5)).otherwise(raw)
     raw = F.when(primary, raw).otherwise(raw * 0.6)
@@ -59,7 +71,7 @@ def consistency(alignment: Column) -> Column:
 
 def mapq_legacy(alignment: Column, mismatches: Column, primary: Column, multi_count: Column) -> Column:
     """Older quality: from the mismatch rate, the length and the consistency of matches."""
-    effective = _count(alignment, r"[\-S]")
+    effective = _without(alignment, "-", "S")
     base = F.greatest(F.lit(0.0), 60 - mismatches / effective * 300)
     penalty = F.when(multi_count > 1, F.least(F.lit(30.0), 10 * F.log2(multi_count))).otherwise(0.0)
     raw = base * F.least(F.lit(1.0), effective / 100.0) - penalty + consistency(alignment)
