@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import count, gene, quant
+from ..session import cut_lineage
 from ..sinks import tables
 from . import inputs as I
 from .inputs import sql
@@ -107,6 +108,11 @@ def _matrix(s: SparkSession, d: str) -> DataFrame:
     return _rounded(quant.sample_matrix(_expression(s, d), SAMPLES, ("n", "tpm", "rpkm")))
 
 
+def _matrix_all(s: SparkSession, d: str) -> DataFrame:
+    """The matrix over every sample there is; its columns are looked up first, so the expression values are written once."""
+    return _rounded(quant.sample_matrix(cut_lineage(_expression(s, d)), None, ("n", "tpm", "rpkm")))
+
+
 def _isoform_unique(s: SparkSession, d: str) -> DataFrame:
     return _rounded(tables.isoform_unique_table(I.combos(s, d), I.tx_lengths(s, d), I.annotation(s, d)), 5)
 
@@ -137,7 +143,7 @@ def queries() -> dict[str, Query]:
         "gene_multi_to_gene": _multi_to_gene, "gene_multi_equal": _gene(gene.multi_equal), "gene_multi_em": _gene_len(gene.multi_em), "gene_unallocated": _gene_len(gene.multi_em_unallocated),
         "gene_final_em": _gene_len(gene.final_em), "gene_final_eq": _gene(gene.final_eq), "gene_final_ma": _gene(gene.final_ma), "gene_final_ma_counted": _final_ma_counted, "gene_ratios": _ratios,
         "length_map_gene": _lengths("gene"), "length_map_isoform": _lengths("isoform"),
-        "tpm_columns": _tpm_columns, "rpkm_columns": lambda s, d: _rounded(_expression(s, d)), "sample_matrix": _matrix,
+        "tpm_columns": _tpm_columns, "rpkm_columns": lambda s, d: _rounded(_expression(s, d)), "sample_matrix": _matrix, "sample_matrix_all": _matrix_all,
         "export_rsem": lambda s, d: _rounded(quant.export_rsem(_expression(s, d), decimals=1)), "export_salmon": lambda s, d: _rounded(quant.export_salmon(_expression(s, d))),
         "export_kallisto": lambda s, d: _rounded(quant.export_kallisto(_expression(s, d))), "export_featurecounts": lambda s, d: _rounded(quant.export_featurecounts(_expression(s, d), effective=True)),
         "isoform_unique_csv": _isoform_unique, "isoform_multi_csv": _isoform_multi, "gene_unique_csv": _gene_unique, "gene_multi_csv": _gene_multi,
@@ -224,6 +230,7 @@ def oracle_sql() -> dict[str, str]:
         "tpm_columns": sql(tpm_columns, "gen_fem", "gen_feq", "gmap"),
         "rpkm_columns": _export("key, round(n, 4) as n, length, eff as eff_length, round(tpm, 4) as tpm, round(rpkm, 4) as rpkm"),
         "sample_matrix": sql(f"select key, {matrix} from expr group by key", "expr"),
+        "sample_matrix_all": sql("select key, round(coalesce(columns(* exclude key), 0), 4) from (pivot (select sample_id, key, n, tpm, rpkm from expr where sample_id is not null) on sample_id using sum(n) as count, sum(tpm) as tpm, sum(rpkm) as rpkm group by key)", "expr"),
         "export_rsem": _export("key as gene_id, length, eff as effective_length, round_even(n, 1) as expected_count"),
         "export_salmon": _export("key as Name, length as Length, eff as EffectiveLength, round(tpm, 4) as TPM, round(n, 4) as NumReads"),
         "export_kallisto": _export("key as target_id, length, eff as eff_length, round(n, 4) as est_counts, round(tpm, 4) as tpm"),

@@ -97,3 +97,12 @@ def test_matrix_and_layouts(spark):
     assert quant.export_featurecounts(e).columns == ["sample_id", "Geneid", "Length", "Count"]
     assert quant.FORMATS["multi"] == ("salmon", "kallisto", "featureCounts") and set(quant.FORMATS["all"]) == set(quant.EXPORTERS)
     assert quant.count_types("all", ["raw", "Final_EM"]) == ["raw", "Final_EM"] and quant.count_types(None, []) == ["Final_EM"] and quant.count_types("a, b", []) == ["a", "b"]
+
+
+def test_matrix_of_all_samples(spark, sf_dir):
+    from hitloom.plans import counting, inputs
+
+    m = counting.queries()["sample_matrix_all"](spark, sf_dir)
+    samples = {r[0] for r in inputs.read(spark, sf_dir, "fanse_record").select("sample_id").distinct().collect()}
+    assert set(m.columns) == {"key"} | {f"{s}_{v}" for s in samples for v in ("count", "tpm", "rpkm")} and len(samples) > len(counting.SAMPLES)
+    assert all(any(r[c] for c in m.columns if c.endswith("_count")) for r in m.collect())  # no key is without a sample
