@@ -2,8 +2,8 @@
 
 ``read_records`` reads whole files and pairs their lines: right for compressed
 files and files of up to some hundred MB. ``RecordSource`` (format ``records``)
-cuts large plain files into byte ranges, each of which finds the start of its
-first record by the form of second lines.
+cuts large plain files into byte ranges; lines are counted first, so that every
+range knows whether it begins with a first or a second line.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import gzip
 import io
 import os
-import re
 import zipfile
 from collections.abc import Iterator
 
@@ -23,7 +22,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import RECORD
 
-_SECOND = re.compile(rb"^[FR](?:,[FR])*\t[^\t]+\t\d+\t\d+(?:,\d+)*\t\d+\s*$")
 #: Bytes of a plain file that one task reads.
 RANGE_BYTES = 64 << 20
 
@@ -64,8 +62,8 @@ def from_lines(lines: DataFrame) -> DataFrame:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, second: bool = False):
+        self.path, self.start, self.end, self.second = path, start, end, second
 
 
 def open_binary(path: str) -> io.BufferedIOBase:
@@ -81,22 +79,55 @@ def open_binary(path: str) -> io.BufferedIOBase:
     return open(path, "rb", buffering=1 << 20)
 
 
-def _pairs(path: str, start: int, end: int) -> Iterator[tuple[int, str, str]]:
+def _ranges(paths: list[str], size: int) -> list[_Range]:
+    out = []
+    for path in paths:
+        if path.endswith((".gz", ".zip")):
+            out.append(_Range(path, 0, 1 << 62))
+            continue
+        end = os.path.getsize(path)
+        out += [_Range(path, a, min(end, a + size)) for a in range(0, end, size)]
+    return out
+
+
+def _breaks(path: str, start: int, end: int) -> int:
+    """Line ends in ``[start, end)``."""
+    n = 0
+    with open(path, "rb", buffering=0) as f:
+        f.seek(start)
+        while start < end and (block := f.read(min(1 << 20, end - start))):
+            n += block.count(b"\n")
+            start += len(block)
+    return n
+
+
+def _to_count(ranges: list[_Range]) -> list[tuple[str, int, int]]:
+    """The ranges whose line ends the next range of their file has to know."""
+    return [(r.path, r.start, r.end) for r, after in zip(ranges, ranges[1:]) if after.start]
+
+
+def _parities(ranges: list[_Range], counts: list[int]) -> str:
+    """For each range 1 if an odd number of lines ends before it, else 0; ``counts`` are those of ``_to_count``."""
+    out, n, left = [], 0, iter(counts)
+    for r in ranges:
+        n = n + next(left) if r.start else 0
+        out.append(str(n & 1))
+    return "".join(out)
+
+
+def _pairs(path: str, start: int, end: int, second: bool = False) -> Iterator[tuple[int, str, str]]:
     """``(offset, line1, line2)`` of the records that start in ``[start, end)``.
 
-    A range after the first begins at a whole line; as long as that isn't known to be a first line, the next second line
-    settles the parity.
+    ``second``: an odd number of lines ends before ``start``. Lines pair by parity from the start of the file, whatever they hold.
     """
     with open_binary(path) as f:
         if start:
             f.seek(start - 1)
-            f.readline()  # the rest of a line that begins before the range, or just its end
-            at = f.tell()
-            first, second = f.readline(), f.readline()
-            # In step, the second of two lines has the form of a second line; out of step, the first one has.
-            if _SECOND.match(first) and not _SECOND.match(second):
-                at += len(first)
-            f.seek(at)
+            if f.read(1) != b"\n":
+                f.readline()  # the rest of a line that begins before the range
+                second = not second
+            if second:
+                f.readline()
         offset = f.tell()
         while offset < end:
             line1 = f.readline()
@@ -111,15 +142,15 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("path", "").split(",") if p]
         self.bytes = int(options.get("rangebytes", RANGE_BYTES))
+        self.parities = options.get("parities")
 
     def partitions(self) -> list[_Range]:
-        out = []
-        for path in self.paths:
-            if path.endswith((".gz", ".zip")):
-                out.append(_Range(path, 0, 1 << 62))
-                continue
-            size = os.path.getsize(path)
-            out += [_Range(path, a, min(size, a + self.bytes)) for a in range(0, size, self.bytes)]
+        out = _ranges(self.paths, self.bytes)
+        parities = self.parities if self.parities is not None else _parities(out, [_breaks(*x) for x in _to_count(out)])
+        if len(parities) != len(out):
+            raise ValueError("the files changed since their lines were counted")
+        for r, odd in zip(out, parities):
+            r.second = odd == "1"
         return out
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
@@ -129,7 +160,7 @@ class _Reader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["file_name", "record_no", "line1", "line2"])
 
-        for offset, a, b in _pairs(part.path, part.start, part.end):
+        for offset, a, b in _pairs(part.path, part.start, part.end, part.second):
             rows.append((name, offset, a, b))
             if len(rows) == 20_000:
                 yield batch()
@@ -139,7 +170,10 @@ class _Reader(DataSourceReader):
 
 
 class RecordSource(DataSource):
-    """Pairs of lines of large files in a file system that all executors see; ``record_no`` is the record's byte offset."""
+    """Pairs of lines of large files in a file system that all executors see; ``record_no`` is the record's byte offset.
+
+    Without the option ``parities``, which ``read_record_ranges`` has the executors find, lines are counted in one pass before the first task.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -153,9 +187,15 @@ class RecordSource(DataSource):
 
 
 def read_record_ranges(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``read_records`` in byte ranges of plain files; ``.gz`` and ``.zip`` (first member) files are one range each."""
+    """``read_records`` in byte ranges of plain files; ``.gz`` and ``.zip`` (first member) files are one range each.
+
+    Files of several ranges are read twice: their lines are counted first, of which one number a range reaches the driver.
+    """
     spark.dataSource.register(RecordSource)
-    return from_lines(spark.read.format("records").option("path", ",".join(paths)).option("rangebytes", range_bytes).load())
+    ranges = _ranges(paths, range_bytes)
+    todo, sc = _to_count(ranges), spark.sparkContext
+    counts = sc.parallelize(todo, min(len(todo), 4 * sc.defaultParallelism)).map(lambda x: _breaks(*x)).collect() if todo else []
+    return from_lines(spark.read.format("records").option("path", ",".join(paths)).option("rangebytes", range_bytes).option("parities", _parities(ranges, counts)).load())
 
 
 def read_unmapped(spark: SparkSession, paths: str | list[str]) -> DataFrame:

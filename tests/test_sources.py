@@ -42,6 +42,21 @@ def test_record_ranges_of_any_size(spark, tmp_path):
         assert sorted(r.header for r in got) == sorted(f"head{i}" for i in range(300)), size
 
 
+def test_record_ranges_at_malformed_lines(spark, tmp_path):
+    bad = ["X\tt{i}\t0\t{i}\t1", "F\tt{i}\t0\t-{i}\t1", "", "F\tt{i}\t0\t{i}\t+1"]
+    lines = [x for i in range(80) for x in (f"head{i}\t{'ACGT' * (i % 7 + 1)}", (bad[i // 3 % 4] if i % 3 else "F\tt{i}\t0\t{i}\t1").format(i=i))]
+    lines[41] = lines[40] = "F\tt\t0\t1\t1"  # a first line that looks like a second one
+    p = tmp_path / "a.rec"
+    p.write_text("\n".join(lines))
+    shown = lambda df: sorted((r.header, r.ref_names, r.strands, r.positions) for r in df.collect())
+    want = shown(records.read_records(spark, str(p)))
+    assert len(want) > 60
+    for size in (23, 41, 64, 300):
+        assert shown(records.read_record_ranges(spark, [str(p), str(p)], size)) == sorted(want * 2), size
+    spark.dataSource.register(records.RecordSource)
+    assert shown(records.from_lines(spark.read.format("records").option("path", str(p)).option("rangebytes", 50).load())) == want
+
+
 def test_unmapped_and_fastx(spark, tmp_path):
     u = tmp_path / "u"
     u.write_bytes(b"r1\tACG\r\nr2\r\n\r\nr3\t")
