@@ -19,6 +19,7 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -162,12 +163,12 @@ def _line(text: str, a: int) -> str:
     return line[_MARKS.match(line).end() :]
 
 
-def _context(text: str, a: int, b: int) -> tuple[str, str, str]:
-    """The line before the span, the word or sign before it and after it.
+def _context(text: str, a: int, b: int, line: str | None = None) -> tuple[str, str, str]:
+    """The line before the span (if given, its last 24 characters are enough), the word or sign before it and after it.
 
     Words are looked for beyond a line break where the sentence goes on there; else a line end gives ``^`` or ``$``.
     """
-    line = _line(text, a)
+    line = _line(text, a) if line is None else line
     while text[b : b + 1] in ("<", "&") and (m := _TAG.match(text, b)):
         b = m.end()
     if line.endswith((">", ";")):
@@ -204,9 +205,10 @@ def _shape(s: str) -> str:
     return _DIGITS.sub(lambda m: str(len(m[0])), s)
 
 
-def _number_facts(text: str, a: int, b: int, shape: str) -> list[str]:
+def _number_facts(text: str, a: int, b: int, shape: str, dated: bool | None = None) -> list[str]:
+    """``dated``: for a span within a chain of groups, whether its line is a dated field, so that no long line is read for each."""
     s = text[a:b]
-    line, prev, nxt = _context(text, a, b)
+    line, prev, nxt = _context(text, a, b, None if dated is None else text[max(0, a - 24) : a])
     f = _labels(_before(text, a))
     f += ["bias", "shape=" + shape, f"digits={sum(map(str.isdigit, s))}", "prev=" + prev]
     if s[0] == "+" or s.startswith("00"):
@@ -219,7 +221,7 @@ def _number_facts(text: str, a: int, b: int, shape: str) -> list[str]:
         f.append("plain")
     if nxt in ("-", "_", "/", ":", "%"):
         f.append("goes-on")
-    if _DATED_FIELD.match(line):
+    if _DATED_FIELD.match(line) if dated is None else dated:
         f.append("header")
     return f
 
@@ -229,19 +231,26 @@ def _numbers(text: str, out: list[Span]) -> None:
         s, a = m[0], m.start()
         if len(s) < 7 or _NO_NUMBER.fullmatch(s) or _GLUED_LEFT.match(text[a - 1 : a]) or _GLUED_RIGHT.match(text, m.end()):
             continue
-        ends, starts = [len(s)], [0]
-        if " " in s:
-            groups = [(g.start(), g.end()) for g in _DIGITS.finditer(s)]
-            ends = [e for k, (_, e) in enumerate(groups) if k == len(groups) - 1 or s[e] == " "][-4:]
-            starts = [0] + [g for k, (g, _) in enumerate(groups) if k and s[g - 1] == " "][:2]
-        for i in starts:
-            for e in ends:
+        # A chain of groups may hold several numbers: each run of whole groups of a number's length is a candidate.
+        blanks = [i for i, c in enumerate(s) if c == " "] if " " in s else []
+        ends, first, dated = [*blanks, len(s)], 0, None
+        for i in [0, *(k + 1 for k in blanks)]:
+            while ends[first] - i < 7:
+                if (first := first + 1) == len(ends):
+                    break
+            for e in islice(ends, first, None):
+                if e - i > 32:
+                    break
                 x = s[i:e]
-                if 7 <= e - i <= 32 and not _NO_NUMBER.fullmatch(x) and 7 <= sum(map(str.isdigit, x)) <= 15 and x.count("(") == x.count(")"):
-                    f = _number_facts(text, a + i, a + e, _shape(x))
+                if 7 <= sum(map(str.isdigit, x)) <= 15 and not _NO_NUMBER.fullmatch(x) and x.count("(") == x.count(")"):
+                    if i and dated is None:
+                        dated = bool(_DATED_FIELD.match(_line(text, a)))
+                    f = _number_facts(text, a + i, a + e, _shape(x), dated)
                     out.append((a + i, a + e, "phone", f))
                     if x[0] not in "+(":
                         out.append((a + i, a + e, "id_number", f))
+            if first == len(ends):
+                break
     for m in _ALNUM.finditer(text):
         if sum(map(str.isdigit, m[0])) >= 5 and not _GLUED_LEFT.match(text[m.start() - 1 : m.start()]):
             f = _number_facts(text, m.start(), m.end(), _UPPER.sub("A", _shape(m[0])))

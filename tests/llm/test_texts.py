@@ -134,6 +134,20 @@ def test_entities(text, want):
     assert [(k, text[s:e]) for s, e, k, _ in pii.find(text, GAZ, model)] == want
 
 
+def test_chains_of_numbers():
+    model = pii.Model.load()
+    for text, want in (
+        ("Tel: 01 23 45 67 89 06 12 34 56 78", ["01 23 45 67 89", "06 12 34 56 78"]), ("Call 020 7946 0958 020 7946 0959 today.", ["020 7946 0958", "020 7946 0959"]),
+        ("Tel: 3 12 5 020 7946 0958", ["020 7946 0958"]), ("Call me on (312) 555-0199 (312) 555-0200", ["(312) 555-0199", "(312) 555-0200"]),
+    ):
+        assert [(k, text[s:e]) for s, e, k, _ in pii.find(text, GAZ, model)] == [("phone", x) for x in want]
+        assert pii.redact(text, GAZ, model).count("[PHONE]") == len(want)
+    chain = "12 345 6789 " * 40  # every run of whole groups of 7 to 15 digits within 32 characters
+    groups = [(m.start(), m.end()) for m in pii._DIGITS.finditer(chain.strip())]
+    runs = {(a, e) for i, (a, _) in enumerate(groups) for _, e in groups[i:] if e - a <= 32 and 7 <= sum(map(str.isdigit, chain[a:e])) <= 15}
+    assert {(s, e) for s, e, k, _ in pii.candidates(chain.strip(), GAZ) if k == "phone"} == runs
+
+
 def test_redaction():
     model = pii.Model.load()
     assert pii.redact("Ask Lena Ortega (bo@x.example).\r\nOk", GAZ, model) == "Ask [NAME] ([EMAIL]).\r\nOk"
