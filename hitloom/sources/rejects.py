@@ -41,6 +41,7 @@ _ARROW = pa.struct(
 QUOTING, COLUMN_COUNT, VALUE = "quoting", "column_count", "value"
 _BASES = re.compile(r"[ACGTNacgtn]+")
 _DIGITS = re.compile(r"[0-9]+")
+_FIRST_QUOTE = re.compile(r'(?:[^"]++|"")*+"')
 _ALIGNED = re.compile(r"[.x\-*ACGTN]*")
 _BREAKS = str.maketrans({"\r": "", "\n": ""})
 _RESTORE = str.maketrans({"": "\r", "": "\n"})
@@ -150,38 +151,45 @@ def logical_lines(text: str) -> Iterator[str]:
     """Lines of a file, where a break inside a quoted field is part of it.
 
     A field is quoted if its first character is a quote; a quoted field that no later line closes ends with its first line,
-    so that one broken row doesn't swallow the rest of the file.
+    so that one broken row doesn't swallow the rest of the file; nor does a quote close it that opens a field of its own.
+    A field may go on over any number of lines.
     """
     lines = text.split("\n")
     if lines and not lines[-1]:
         lines.pop()
+    # What a line does depends only on whether it begins inside a field, so the ends are found from the last line back:
+    # the line with which the logical line ends that is inside a field at the start of line i; none if it never closes.
+    n = len(lines)
+    ends = [n] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        if '"' not in lines[i]:
+            ends[i] = ends[i + 1]
+        elif not _opens_anew(lines[i]):
+            ends[i] = ends[i + 1] if _open_field(lines[i], True) else i
     i = 0
-    while i < len(lines):
-        if not _open_field(lines[i]):
-            yield lines[i]
-            i += 1
-            continue
-        # A closing line is looked for as far as the next one that opens a field of its own.
-        for j in range(i + 1, len(lines)):
-            if not _open_field(joined := "\n".join(lines[i : j + 1])):
-                yield joined
-                i = j + 1
-                break
-            if j - i >= 64:
-                yield lines[i]
-                i += 1
-                break
-        else:
-            yield lines[i]
-            i += 1
+    while i < n:
+        j = ends[i + 1] if _open_field(lines[i]) else i
+        if j == n:
+            j = i
+        yield lines[i] if i == j else "\n".join(lines[i : j + 1])
+        i = j + 1
+
+
+def _opens_anew(line: str) -> bool:
+    """Whether the first single quote of ``line`` stands where a field begins and text follows it."""
+    if not (m := _FIRST_QUOTE.match(line)):
+        return False
+    j = m.end() - 1
+    return (j == 0 or line[j - 1] == "\t") and line[j + 1 : j + 2] not in ("", "\t", "\r")
 
 
-def _open_field(line: str) -> bool:
-    """Whether ``line`` ends inside a quoted field."""
+def _open_field(line: str, inside: bool = False) -> bool:
+    """Whether ``line`` ends inside a quoted field; ``inside``: it begins in one."""
     i, n = 0, len(line)
     while i <= n:
-        if i < n and line[i] == '"':
-            i += 1
+        if inside or i < n and line[i] == '"':
+            i += not inside
+            inside = False
             while True:
                 j = line.find('"', i)
                 if j < 0:

@@ -54,6 +54,26 @@ def test_text_with_quoted_breaks(spark, tmp_path):
     assert [(r.record_no, r.reason) for r in bad.orderBy("record_no").collect()] == [(2, "quoting"), (3, "column_count")]
 
 
+def test_long_quoted_fields(spark, tmp_path):
+    long = "h" + "\nmore" * 301
+    p = tmp_path / "a.rec"
+    p.write_text(f'"{long}"\tACG\nF\ta\t1\t5\t1\nh2\tACG\nF\ta\t1\t5\t1\n"open\tACG\nF\ta\t1\t5\t1\nh3\tACG\nF\ta\t1\t5\t1\n"open\tACG\nF\ta\t1\t5\t1\n')
+    valid, bad = rejects.load_text(spark, str(p))
+    assert [(r.record_no, r.header) for r in valid.orderBy("record_no").collect()] == [(0, long), (1, "h2"), (3, "h3")]
+    assert [(r.record_no, r.reason) for r in bad.orderBy("record_no").collect()] == [(2, "quoting"), (4, "quoting")]
+    r = random.Random(6)
+    for _ in range(2000):  # against joining line by line
+        lines = "".join(r.choice('"""a\t\n\n') for _ in range(r.randrange(1, 25))).split("\n")
+        want, i = [], 0
+        while i < len(lines):
+            last = next((j for j in range(i + 1, len(lines)) if rejects._opens_anew(lines[j])), len(lines))
+            j = next((j for j in range(i, last) if not rejects._open_field("\n".join(lines[i : j + 1]))), i)
+            want.append("\n".join(lines[i : j + 1]))
+            i = j + 1
+        assert list(rejects.logical_lines("\n".join(lines) + "\n")) == want
+    assert len(list(rejects.logical_lines('"open\n' * 100_000))) == 100_000 and len(list(rejects.logical_lines('"a\n' + "x\n" * 300_000))) == 300_001
+
+
 # Packed fields
 def split_plain(s):
     """The grammar as a loop over characters, for fields whose quotes are closed."""
