@@ -114,11 +114,11 @@ def _cuts(histogram: list, wanted: dict[str, float]) -> list[tuple[str, int, int
     return out
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, seed: int = 7, path: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | str | None = None, seed: int = 7, path: str | None = None) -> DataFrame:
     """``(doc_id, source, n_tokens, repeats)``: the documents of the mix and how often each is used.
 
     ``targets`` has ``source`` (unique by letters), ``target_share`` and ``max_repeat``; ``total`` is the size of the mix in
-    tokens, by default the largest at which all shares are exact. Every document is used as often as its source's whole
+    tokens, by default the largest at which all shares are exact, or ``all``, as many tokens as the documents of these sources have. Every document is used as often as its source's whole
     repetitions; the fraction beyond them goes to the documents first in a seeded order, up to the size wanted, so a source
     falls short by less than one document. No document is used more than ``max_repeat`` times.
 
@@ -142,6 +142,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
     sizes: dict[str, int] = {}
     for r in histogram:
         sizes[r.src] = sizes.get(r.src, 0) + r.tokens
+    if total == "all":
+        total = sum(sizes.values())
     cuts = docs.sparkSession.createDataFrame(_cuts(histogram, water_fill(sizes, goal, total)), "src string, whole int, cut int, rest long")
     rows = rows.join(F.broadcast(cuts), "src")
     at_cut = rows.where(F.col("bucket") == F.col("cut"))

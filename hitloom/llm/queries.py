@@ -60,9 +60,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "eval_item", "item_id", "item_text"))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
     targets = _read(spark, sf_dir, "source_target", "source", "target_share", "max_repeat")
-    return mix.mix_sources(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), targets), targets
+    return mix.mix_sources(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), targets, total=total), targets
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,11 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(*_mix(spark, sf_dir))
 
 
+def p9_mix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of as many tokens as the corpus has: sources over their cap are clamped, their excess goes to the others."""
+    return _mix(spark, sf_dir, "all")[0]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal information in messages, by type, exactly as it stands."""
     return pii.find_pii(_read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -86,7 +91,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_record_groups, p2_found, p2_pairs, p4_found, p4_counts, p8_found, p9_mix, p9_report, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_record_groups, p2_found, p2_pairs, p4_found, p4_counts, p8_found, p9_mix, p9_report, p9_mix_all, p10_found, p10_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

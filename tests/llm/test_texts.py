@@ -100,6 +100,34 @@ def test_mix(spark):
     assert mix.mix_sources(docs.limit(0), targets).count() == 0 and mix.mix_sources(docs, targets.limit(0)).count() == 0
 
 
+def test_mix_of_all_tokens_clamps(spark, sf_dir):
+    from hitloom.llm import queries
+
+    docs, targets = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "source_target"))
+    rows = mix.count_tokens(docs.select("doc_id", mix.source_name(docs.source).alias("src"), "text").distinct())
+    goal = {r.src: (r.target_share, r.max_repeat) for r in targets.select(mix.source_name(targets.source).alias("src"), "target_share", "max_repeat").collect()}
+    tokens = _by_source(rows.where("n_tokens > 0").collect())
+    sizes = {s: sum(tokens.get(s, {}).values()) for s in goal}
+    longest = {s: max(tokens.get(s, {0: 0}).values()) for s in goal}
+    used = Counter()
+    for r in queries.p9_mix_all(spark, sf_dir).collect():
+        used[r.source] += r.n_tokens * r.repeats
+    want = mix.water_fill(sizes, goal, sum(sizes.values()))
+    clamped = [s for s in goal if sizes[s] and want[s] == sizes[s] * goal[s][1]]
+    assert clamped and all(used[s] == want[s] for s in clamped)
+    assert all(want[s] - longest[s] - 1 <= used[s] <= want[s] + 1e-6 for s in goal)
+
+
+def _by_source(rows):
+    """Tokens by source and id, each id once as the smallest source and number."""
+    first, out = {}, {}
+    for r in rows:
+        first[r.doc_id] = min(first.get(r.doc_id, (r.src or "~", r.n_tokens)), (r.src or "~", r.n_tokens))
+    for i, (s, n) in first.items():
+        out.setdefault(s, {})[i] = n
+    return out
+
+
 def test_tokens(spark):
     import public_tokenizers
 
