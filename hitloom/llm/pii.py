@@ -277,15 +277,21 @@ def _emails(text: str, out: list[Span]) -> None:
         f += ["prev=" + (prev if prev in "<(:" else "other"), "next=>" if text[b : b + 1] == ">" else "next=other"]
         out.append((a, b, "email", f))
 
+    def before(at: int) -> re.Match | None:
+        n = 64  # doubled as long as the local part goes on
+        while (run := _LOCAL_PART.match(back := text[max(0, at - n) : at][::-1])) and run.end() == n:
+            n *= 2
+        return _LOCAL.match(back)
+
     at = text.find("@")
     while at >= 0:
-        local, host = _LOCAL.match(text[max(0, at - 64) : at][::-1]), _PLAIN_HOST.match(text, at + 1)
+        local, host = before(at), _PLAIN_HOST.match(text, at + 1)
         if local and host:
             add(at - local.end(), host.end(), "plain")
         at = text.find("@", at + 1)
     if any(x in text for x in _AT_SIGNS):
         for m in _AT.finditer(text):
-            local, host = _LOCAL.match(text[max(0, m.start() - 64) : m.start()][::-1]), _HOST.match(text, m.end())
+            local, host = before(m.start()), _HOST.match(text, m.end())
             if local and host and not host[0].replace(".", "").isdigit():
                 add(m.start() - local.end(), host.end(), "at-dot" if _DOT_WORD.search(host[0]) else "at")
 
@@ -399,7 +405,7 @@ def _names(text: str, gaz: Gazetteer, out: list[Span]) -> None:
 
 def candidates(text: str, gaz: Gazetteer) -> list[Span]:
     """``(start, end, type, features)`` of every span that could be an entity. Encoded blocks hold none."""
-    if len(text) > 1000 and "base64" in text:
+    if "base64" in text:
         text = _BASE64.sub(lambda m: " " * len(m[0]), text)
     out: list[Span] = []
     _emails(text, out)

@@ -176,6 +176,16 @@ def test_chains_of_numbers():
     assert {(s, e) for s, e, k, _ in pii.candidates(chain.strip(), GAZ) if k == "phone"} == runs
 
 
+def test_short_encoded_blocks_and_long_local_parts():
+    model = pii.Model.load()
+    block = "Content-Transfer-Encoding: base64\n\n" + "\n".join(["Lena" + "A/9" * 24] * 3) + "\nLena\n"
+    assert len(block) < 1000 and not pii.candidates(block, GAZ) and pii.candidates(block.replace("base64", "8bit"), GAZ)
+    for n in (63, 64, 65, 128, 500):
+        text = f"Write to {'x' * n}@lab.example soon."
+        assert [(k, text[s:e]) for s, e, k, _ in pii.find(text, GAZ, model)] == [("email", "x" * n + "@lab.example")]
+    assert pii.redact(f"Write to {'bounce+' * 20}x (at) lab.example", GAZ, model) == "Write to [EMAIL]"
+
+
 def test_redaction():
     model = pii.Model.load()
     assert pii.redact("Ask Lena Ortega (bo@x.example).\r\nOk", GAZ, model) == "Ask [NAME] ([EMAIL]).\r\nOk"
