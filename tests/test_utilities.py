@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from hitloom.operators import samutil, variants
+from hitloom.operators import samutil, sitefilter, variants
 
 VCF = "line_no long, chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string, format string, samples array<string>"
 
@@ -44,8 +44,26 @@ def test_linkage_and_lengths(spark):
 def test_quality_stats(spark):
     rows = [("c", 1, "A", "G", "30", "", None, None), ("c", 2, "A", "C", "20", "", None, None), ("c", 3, "A", "T", ".", "", None, None), ("c", 4, "AT", "A", "50", "", None, None), ("c", 5, "a", "g", "20", "", None, None), ("c", 6, "N", "G", "40", "", None, None)]
     ref = spark.createDataFrame([("c", 1), ("c", 9)], "chrom string, pos long")
-    assert variants.quality_stats(vcf(spark, rows), ref, 0.1) == [(30.0, 1, 1, 1, 1, 100.0, 0.5, 1.0, 100.0), (20.0, 3, 3, 2, 1, 2.0, 0.5, 0.3333, 1.0), (3.0, 4, 4, 2, 1, 1.0, 0.5, 0.25, 0.0)]
-    assert variants.quality_stats(vcf(spark, []), ref) == []
+    got = [tuple(r) for r in variants.quality_stats(vcf(spark, rows), ref, 0.1).orderBy(F.desc("qual")).collect()]
+    assert got == [(30.0, 1, 1, 1, 1, 100.0, 0.5, 1.0, 100.0), (20.0, 3, 3, 2, 1, 2.0, 0.5, 0.3333, 1.0), (3.0, 4, 4, 2, 1, 1.0, 0.5, 0.25, 0.0)]
+    assert variants.quality_stats(vcf(spark, []), ref).count() == 0
+    alleles = spark.createDataFrame([("c", 1, "T,G"), ("c", 2, "T"), ("c", 9, "A")], "chrom string, pos long, alt string")
+    assert [r.hits for r in variants.quality_stats(vcf(spark, rows), alleles, 0.9).collect()] == [1]
+    assert [r.hits for r in variants.quality_stats(vcf(spark, rows), step=0.9).collect()] == [0]
+
+
+def test_quality_stats_marks(spark):
+    """Against the marks as a plain loop over sites from the best quality down."""
+    r = random.Random(8)
+    rows = [("c", i, r.choice("ACGT"), r.choice(["A", "C", "G", "T", "."]), str(r.choice([9, 9.5, 12, 30.25, 77, 410, -2])), "", None, None) for i in range(400)]
+    best = sorted(({"q": max(float(x[4]), 0) or 3.0, "snp": x[3] not in (".", x[2])} for x in rows), key=lambda x: -x["q"])
+    want, mark = [], 0.0
+    for q in sorted({x["q"] for x in best}, reverse=True):
+        seen = [x for x in best if x["q"] >= q]
+        if len(seen) / 401 > mark + 0.15 or len(seen) == 400:
+            want.append((q, len(seen), sum(x["snp"] for x in seen)))
+            mark = len(seen) / 401
+    assert [(x.qual, x.sites, x.snps) for x in variants.quality_stats(vcf(spark, rows), step=0.15).orderBy(F.desc("qual")).collect()] == want
 
 
 def walked(sites, o):
@@ -79,7 +97,7 @@ def walked(sites, o):
 
 
 def test_site_filter(spark):
-    r, o = random.Random(3), variants.SiteFilter(gap_window=6, snp_window=5)
+    r, o = random.Random(3), sitefilter.SiteFilter(gap_window=6, snp_window=5)
     rows, pos = [], 0
     for i in range(300):
         pos = 1 if i == 150 else pos + r.choice([0, 1, 2, 4, 9, 30])
@@ -87,10 +105,10 @@ def test_site_filter(spark):
         info = r.choice(["DP=20;MQ=40", "DP=1;MQ=40", "DP4=1,1,1,0;MQ=60", "DP=20;MQ=3", "DP=20000", "DP=9;PV4=0.5,0.5,0.5,0.00001", "DP=9"])
         rows.append(("c1" if i < 150 else "c2", pos, a, b, str(r.randrange(1, 9)), info, None, None))
     df = vcf(spark, rows)
-    own = variants.site_codes(df, o).select("line_no", "chrom", "pos", (F.length("ref") - 1).alias("span"), (F.col("kind") == "indel").alias("indel"), "score", "code").orderBy("line_no").collect()
+    own = sitefilter.site_codes(df, o).select("line_no", "chrom", "pos", (F.length("ref") - 1).alias("span"), (F.col("kind") == "indel").alias("indel"), "score", "code").orderBy("line_no").collect()
     assert {x.code for x in own} == {"", "d", "a", "Q", "D", "P"}
     want = {x.line_no: c for x, c in zip(own, walked([x.asDict() for x in own], o))}
-    got = {x.line_no: x.code for x in variants.filter_sites(df, o).collect()}
+    got = {x.line_no: x.code for x in sitefilter.filter_sites(df, o).collect()}
     assert got == want and {"G", "g", "M"} <= set(got.values())
 
 
@@ -139,7 +157,70 @@ def test_pileup_filter(spark):
     gap = lambda i, pos, call="*/-AC", q=50, n=5: (i, "c", pos, "*", call, 9, q, 60, 9, "*", call[2:], 4, n)
     rows = [snp(0, 1, "a"), snp(1, 10), snp(2, 100, depth=1), snp(3, 200, mapq=3), snp(4, 300, depth=1000), snp(5, 400), snp(6, 405), snp(7, 410), gap(8, 500), snp(9, 511), snp(10, 514), gap(11, 600, q=9), gap(12, 620), snp(13, 700), gap(14, 705), gap(15, 800, "*/*"), snp(16, 810, chrom="d")]
     df = spark.createDataFrame(rows, kind)
-    code = {r.line_no: r.code for r in variants.filter_pileup(df).collect()}
+    code = {r.line_no: r.code for r in sitefilter.filter_pileup(df).collect()}
     assert code == {1: "", 2: "d", 3: "Q", 4: "D", 5: "W", 6: "W", 7: "W", 8: "", 9: "G", 10: "", 11: "g", 12: "", 13: "G", 14: "", 16: ""}
-    strict = {r.line_no: r.code for r in variants.filter_pileup(df, variants.PileupFilter(min_snp_quality=60, min_indel_quality=60)).collect()}
+    strict = {r.line_no: r.code for r in sitefilter.filter_pileup(df, sitefilter.PileupFilter(min_snp_quality=60, min_indel_quality=60)).collect()}
     assert strict[1] == "s" and strict[8] == "i"
+
+
+def plain_pileup(rows, o):
+    """Codes of ``(chrom, pos, gap, end, score, qual, mapq, own)`` in order, each line against all earlier ones."""
+    out = []
+    for i, t in enumerate(rows):
+        near = [j for j in range(i) if rows[j]["chrom"] == t["chrom"] and not rows[j]["own"]]
+        gaps, snps = [j for j in near if rows[j]["gap"]], [j for j in near if not rows[j]["gap"]]
+        within = lambda j, w: rows[j]["end"] + w >= t["pos"]  # noqa: E731, B023
+        code = t["own"]
+        if not code and t["gap"]:
+            code = "Q" if t["mapq"] < o.min_mapq_gap else ""
+            for j in snps:
+                if t["qual"] >= o.min_indel_score and within(j, o.snp_window) and not out[j]:
+                    out[j] = "G"
+            for j in gaps:
+                if within(j, o.gap_window):
+                    if rows[j]["score"] >= t["score"]:
+                        code = "g"
+                        break
+                    out[j] = "g"
+        elif not code:
+            code = "Q" if t["mapq"] < o.min_mapq_snp else ""
+            close = [j for j in snps if within(j, o.dense_window)]
+            if 1 + sum(out[j] in ("", "W", "G") for j in close) > o.max_snps:
+                code = "W"
+                for j in close:
+                    out[j] = out[j] or "W"
+            elif any(rows[j]["score"] >= o.min_indel_score and within(j, o.snp_window) for j in gaps):
+                code = "G"
+        out.append(code)
+    return out
+
+
+def test_pileup_filter_at_random(spark):
+    r, o = random.Random(5), sitefilter.PileupFilter(gap_window=12, min_snp_quality=5, min_indel_quality=5, min_indel_score=210, dense_window=14, max_snps=2)
+    kind = "line_no long, chrom string, pos long, base string, call string, cons_qual int, snp_qual int, mapq int, depth int, first string, second string, n_first int, n_second int"
+    rows, plain, pos = [], [], 0
+    for i in range(500):
+        pos = 1 if i == 250 else pos + r.choice([0, 0, 1, 3, 5, 8, 40])
+        chrom, gap = "a" if i < 250 else "b", r.random() < 0.3
+        call = r.choice(["*/-AC", "+A/*", "-ACGTACG/*", "*/*"]) if gap else r.choice("AGCT")
+        q, m, d, n = r.choice([3, 40, 220, 230]), r.choice([5, 15, 60, 60]), r.choice([1, 9, 9, 9, 9, 500]), r.choice([0, 1, 2])
+        rows.append((i, chrom, pos, "*" if gap else "A", call, 9, q, m, d, "*", "x", 4, n))
+        if call in ("A", "*/*"):
+            continue
+        own = ("i" if gap else "s") if q < 5 else "d" if d < 3 else "D" if d > 100 else ""
+        span = {"*/-AC": 2, "-ACGTACG/*": 7}.get(call, 0)
+        plain.append({"line": i, "chrom": chrom, "pos": pos, "gap": gap, "end": pos + span, "score": q + 100.0 * n, "qual": q, "mapq": m, "own": own})
+    want = dict(zip([x["line"] for x in plain], plain_pileup(plain, o)))
+    got = {x.line_no: x.code for x in sitefilter.filter_pileup(spark.createDataFrame(rows, kind), o).collect()}
+    assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {}
+    assert {"", "G", "g", "W", "Q", "s", "i", "d", "D"} <= set(got.values())
+
+
+def test_site_filter_edges(spark):
+    rows = [(None, 5, "A", "G", "9", "", None, None), ("c", None, "A", "G", "9", "DP=0", None, None), ("c", 70_000, "A", "G", ".", "", None, None), ("c", 70_000, "A", "T", "50", "", None, None), ("c", 65_530, "ACGTACGTACG", "A", "9", "DP4=0,0,3,3", None, None)]
+    got = {r.line_no: r.code for r in sitefilter.filter_sites(vcf(spark, rows)).collect()}
+    # Without quality and depths a score is below 0, which no later one beats.
+    assert got == {0: "", 1: "d", 2: "", 3: "M", 4: ""}
+    far = [("c", 65_530, "ACGTACGTACG", "A", "9", "DP4=0,0,3,3", None, None), ("c", 65_545, "A", "G", "9", "", None, None)]
+    assert {r.line_no: r.code for r in sitefilter.filter_sites(vcf(spark, far)).collect()} == {0: "", 1: "G"}
+    assert sitefilter.filter_sites(vcf(spark, [])).count() == 0
