@@ -3,8 +3,9 @@
 The patterns are all runs of ``m`` consecutive words of the test items. A block
 is two words. The shift table tells for a block how far the window may move
 without skipping a pattern, so most of a text is never looked at; where the shift
-is 0, the bucket of the block, the patterns' last one, gives the patterns that
-are compared directly.
+is 0, the hash of the window selects, in the bucket of the block, the patterns
+that are compared directly. Patterns are kept as places in the items' words, so
+an item costs memory in proportion to its words.
 """
 
 from __future__ import annotations
@@ -15,29 +16,41 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import spread
 from .mailtext import _WORD, words
 
-#: Test items whose patterns go to the tasks at once; more items are searched in several blocks of this size.
-BLOCK_ITEMS = 20_000
+#: Characters of test items whose patterns go to the tasks at once (some 100 MB in a worker); more are searched block by block.
+BLOCK_CHARS = 4 << 20
 
 
 class WuManber:
-    """Patterns: ``{words: ids}``, each of the same number of words."""
+    """Search for all runs of ``length`` words of the items ``(id, text)``."""
 
-    def __init__(self, patterns: dict[tuple[str, ...], set], length: int):
+    def __init__(self, items: Iterable[tuple], length: int):
         self.length, self.jump = length, length - 1
         self.shift: dict[tuple[str, str], int] = {}
-        self.bucket: dict[tuple[str, str], list[tuple[tuple[str, ...], set]]] = defaultdict(list)
-        for p, ids in patterns.items():
-            for end in range(1, length):
-                block = p[end - 1], p[end]
-                self.shift[block] = min(self.shift.get(block, self.jump), length - 1 - end)
-            self.bucket[p[-2], p[-1]].append((p, ids))
+        self.bucket: dict[tuple[str, str], dict[int, list[tuple[int, int]]]] = defaultdict(dict)
+        self.ids, self.words = [], []
+        for item, text in items:
+            w = _WORD.findall((text or "").lower())
+            n = len(w) - length + 1
+            if n <= 0:
+                continue
+            k = len(self.ids)
+            self.ids.append(item)
+            self.words.append(w)
+            for i in range(1, len(w)):
+                # The block ends at place i. Of the patterns that hold it, the one in which it comes latest moves the window least.
+                block = w[i - 1], w[i]
+                self.shift[block] = min(self.shift.get(block, self.jump), max(0, length - 1 - i))
+                if i >= length - 1:
+                    start = i - length + 1
+                    self.bucket[block].setdefault(hash(tuple(w[start : i + 1])), []).append((k, start))
 
     def search(self, text: list[str]) -> set:
-        """Ids of all patterns that occur in ``text``."""
+        """Ids of all items of which a pattern occurs in ``text``."""
         found, shift, jump, m, n = set(), self.shift.get, self.jump, self.length, len(text)
         i = m - 1
         while i < n:
@@ -45,23 +58,14 @@ class WuManber:
             if step := shift(block, jump):
                 i += step
                 continue
-            window = tuple(text[i - m + 1 : i + 1])
-            for p, ids in self.bucket[block]:
-                if p == window:
-                    found |= ids
+            window = text[i - m + 1 : i + 1]
+            for k, start in self.bucket[block].get(hash(tuple(window)), ()):
+                if self.words[k][start : start + m] == window:
+                    found.add(self.ids[k])
             i += 1
         return found
 
 
-def item_patterns(items: Iterable[tuple], length: int) -> dict[tuple[str, ...], set]:
-    out: dict[tuple[str, ...], set] = defaultdict(set)
-    for item, text in items:
-        w = _WORD.findall((text or "").lower())
-        for i in range(len(w) - length + 1):
-            out[tuple(w[i : i + length])].add(item)
-    return out
-
-
 _built: dict[int, WuManber] = {}
 
 
@@ -71,22 +75,37 @@ def _matcher(held, length: int) -> WuManber:
     if key not in _built:
         if len(_built) > 4:
             _built.clear()
-        _built[key] = WuManber(item_patterns(held.value, length), length)
+        _built[key] = WuManber(held.value, length)
     return _built[key]
 
 
+def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple]]:
+    """The rows of ``items(id, text)`` in blocks of ``size`` characters or one item."""
+    block, held = [], 0
+    for row in items.toLocalIterator():
+        if block and held + len(row[1]) > size:
+            yield block
+            block, held = [], 0
+        block.append(tuple(row))
+        held += len(row[1])
+    if block:
+        yield block
+
+
 def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", length: int = 12) -> DataFrame:
     """``(doc_id, item_id)``: documents that hold at least ``length`` consecutive words of an item, and the items they hold.
 
     Case, punctuation, line breaks, reply marks and markup between words don't count; encoded text parts count as decoded.
     Null and empty texts hold nothing; items of fewer than ``length`` words (or null) are in no document; a passage that is
     part of several items gives each of them. Repeated documents give one row per id and item.
+
+    Items come to the driver in blocks of ``BLOCK_CHARS``; each block costs one scan of the documents.
     """
     spark = docs.sparkSession
     docs = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
-    wanted = items.where(F.col(item_text).isNotNull()).select(item_id, item_text)
-    kind = dict(items.select(F.col(item_id).alias("i")).dtypes)["i"]
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    wanted = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+    kind = wanted.schema["i"].dataType
+    item_type = to_arrow_type(kind)
 
     def scan(block: list[tuple]) -> DataFrame:
         held = spark.sparkContext.broadcast(block)
@@ -96,18 +115,14 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
             for b in batches:
                 ids, found = [], []
                 for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for item in sorted(matcher.search(words(t))):
+                    for item in matcher.search(words(t)):
                         ids.append(doc)
                         found.append(item)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(found, types[kind])], names=["doc_id", "item_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(found, item_type)], names=["doc_id", "item_id"])
 
-        return docs.mapInArrow(task, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {kind}")
+        return docs.mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}")
 
-    out, block = None, []
-    for row in wanted.toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == BLOCK_ITEMS:
-            out, block = scan(block) if out is None else out.unionByName(scan(block)), []
-    if block or out is None:
+    out = None
+    for block in _blocks(wanted, BLOCK_CHARS):
         out = scan(block) if out is None else out.unionByName(scan(block))
-    return out.distinct()
+    return (scan([]) if out is None else out).distinct()

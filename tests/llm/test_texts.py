@@ -43,7 +43,7 @@ def test_leaks(spark):
 
 
 def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leak, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(leak, "BLOCK_CHARS", 150)
     docs = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string")
     items = spark.createDataFrame([(i, ITEM if i in (0, 4) else f"x{i} " * 15) for i in range(5)], "item_id int, item_text string")
     assert sorted(tuple(r) for r in leak.leaked(docs, items).collect()) == [(1, 0), (1, 4)]
@@ -52,14 +52,83 @@ def test_items_in_blocks(spark, monkeypatch):
 def test_wu_manber_equals_windows():
     r = random.Random(8)
     words = list("abcdefg")
-    patterns = {tuple(r.choice(words) for _ in range(4)): {i} for i in range(60)}
-    m = leak.WuManber(patterns, 4)
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 9)))) for i in range(60)]
+    patterns = {}
+    for i, t in items:
+        w = t.split()
+        for k in range(len(w) - 3):
+            patterns.setdefault(tuple(w[k : k + 4]), set()).add(i)
+    m = leak.WuManber(items, 4)
     for _ in range(500):
         text = [r.choice(words + ["x"]) for _ in range(r.randrange(0, 30))]
         want = {i for k in range(len(text) - 3) for i in patterns.get(tuple(text[k : k + 4]), ())}
         assert m.search(text) == want
 
 
+def nested(depth, inner):
+    for k in range(depth):
+        inner = f'Content-Type: multipart/mixed; boundary="b{k}"\n\n--b{k}\n{inner}\n--b{k}--\n'
+    return inner
+
+
+def quoted(text, mark="> "):
+    return "".join(mark + x + "\n" for x in text.splitlines())
+
+
+ENCODED = "Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n" + b64("x " + PASSAGE)
+SOFT = "Content-Type: text/plain\nContent-Transfer-Encoding: quoted-printable\n\n" + PASSAGE.replace("woven", "wov=\nen")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "From MAILER Mon, 1 Sep 2031 05:50:29 (CET)\n" + mail(b64("x " + PASSAGE), encoding="base64"),
+        "From x@y Mon\r\n" + mail(SOFT.partition("\n\n")[2], encoding="quoted-printable", multipart=True).replace("\n", "\r\n"),
+        "From: a@b.example\nContent-Type: message/rfc822\n\n" + mail(b64("x " + PASSAGE), encoding="base64"),
+        nested(1, "Content-Type: message/rfc822\n\n" + nested(2, ENCODED)),
+        nested(9, ENCODED), nested(400, SOFT),
+        "Hi,\n\n" + quoted("From: a@b.example\n" + ENCODED), "Hi,\n\n" + quoted(quoted(SOFT)), "Hi,\n\n" + quoted(ENCODED, "AB> "),
+        "Subject: fwd\n\nsee below\n\n-----Original Message-----\nFrom: a@b.example\nDate: today\n" + SOFT,
+        "Begin forwarded message:\n\nFrom: a@b.example\n" + nested(2, ENCODED),
+        mail("see <b>" + PASSAGE.replace(" woven", "</b> <i>woven</i>")),
+    ],
+)
+def test_packed_messages(text):
+    assert leak.WuManber([(1, ITEM)], 12).search(mailtext.words(text)) == {1}
+
+
+def test_leaks_of_the_mail_against_plain_views(spark, sf_dir):
+    """Every message of the tables against a search for all windows in several plainly decoded views of it."""
+    import html
+    import re
+
+    from hitloom.llm import queries
+
+    marks, blocks = re.compile(r"^[ \t>|]*(?:[^\W\d_]{1,4}>[ \t>|]*)*", re.M), re.compile(r"(?:^[A-Za-z0-9+/]{20,}={0,2}[ \t]*$\n?)+(?:^[A-Za-z0-9+/]+={0,2}[ \t]*$)?", re.M)
+
+    def views(text):
+        bare = marks.sub("", text.replace("\r\n", "\n"))
+        soft = re.sub(r"(?:=[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("=", "")).decode("utf8", "replace"), re.sub(r"=[ \t]*\n", "", bare))
+        for x in (bare, soft):
+            yield from (x, marks.sub("", html.unescape(re.sub(r"<[^<>]*>", " ", x))))
+        for m in blocks.finditer(bare):
+            packed = re.sub(r"[^A-Za-z0-9+/]", "", m[0])
+            packed = packed[: len(packed) // 4 * 4]
+            yield from (marks.sub("", html.unescape(re.sub(r"<[^<>]*>", " ", x))) for x in [base64.b64decode(packed).decode("utf8", "replace")])
+
+    patterns = {}
+    for r in spark.read.parquet(f"{sf_dir}/eval_item.parquet").collect():
+        w = mailtext._WORD.findall(r.item_text.lower())
+        for k in range(len(w) - 11):
+            patterns.setdefault(tuple(w[k : k + 12]), set()).add(r.item_id)
+    want = set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        for v in views(r.text or ""):
+            w = mailtext._WORD.findall(v.lower())
+            want |= {(r.doc_id, i) for k in range(len(w) - 11) for i in patterns.get(tuple(w[k : k + 12]), ())}
+    assert {tuple(r) for r in queries.p8_found(spark, sf_dir).collect()} == want
+
+
 def test_broken_encodings():
     assert "a" in mailtext.readable(mail("====", encoding="base64"))
     assert mailtext.words(mail("=ZZ =C3=28 ok", encoding="quoted-printable"))[-1] == "ok"
