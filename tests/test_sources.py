@@ -190,3 +190,32 @@ def test_windowed_loads(spark, tmp_path):
     q = incremental.windowed_loads(stream).writeStream.outputMode("complete").format("memory").queryName("loads").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.sample_id, str(r.window.start), r.n) for r in spark.table("loads").collect()) == [("S1", "2031-01-01 00:00:00", 2), ("S2", "2031-01-02 00:00:00", 1)]
+
+
+def test_written_tables(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from hitloom import session
+
+    w = session.Written(spark.range(10).select("id", F.lit("x").alias("s")), n=F.count("*"), total=F.sum("id"))
+    assert w.metrics == {"n": 10, "total": 45} and w.df.count() == 10
+    path = w.path.removeprefix("file:")
+    assert os.path.isdir(path)
+    w.drop()
+    assert not os.path.isdir(path)
+    assert session.Written(spark.range(0)).df.count() == 0
+
+
+def test_checkpoints_of_a_cluster_need_a_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from hitloom import session
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    sc = SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: None, getConf=lambda: conf)
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=sc))
