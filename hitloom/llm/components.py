@@ -15,27 +15,27 @@ to that smallest node.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_set
-from ..session import cut_lineage
+from ..session import Written
 
 #: A node with more than this share of all edges is a hub. At most 2 / HUB_SHARE nodes can be hubs, so their table may be broadcast.
 HUB_SHARE = 0.002
-#: Below this many edges no node counts as a hub.
-HUB_LEAST = 100_000
+#: Up to this many edges the smallest neighbours of all nodes, at most one row per end of an edge, are broadcast.
+BROADCAST_EDGES = 200_000
 
 
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """``edges(node, other)`` with ``m`` of ``least(node, m, n)``.
 
-    The edges of hubs are joined map-side: their table has at most ``2 / HUB_SHARE`` rows.
-    All others are joined by shuffle.
+    The edges of hubs are joined map-side: their table has at most ``2 / HUB_SHARE`` rows, whatever the number of edges.
+    All others are joined by shuffle, or, where ``total`` bounds the size of ``least``, map-side as well.
     """
-    hub = F.col("n") > max(HUB_LEAST, total * HUB_SHARE)
-    if total <= HUB_LEAST:
-        return edges.join(least.select("node", "m"), "node")
+    if total <= BROADCAST_EDGES:
+        return edges.join(F.broadcast(least.select("node", "m")), "node")
+    hub = F.col("n") > total * HUB_SHARE
     hubs = least.where(hub).select("node", F.col("m").alias("hub_m"))
     mixed = edges.join(F.broadcast(hubs), "node", "left")
     rest = mixed.where(F.col("hub_m").isNull()).drop("hub_m").join(least.where(~hub).select("node", "m"), "node")
@@ -43,13 +43,13 @@ def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
-    both = edges.select(F.col("lo").alias("node"), F.col("hi").alias("other")).unionByName(
-        edges.select(F.col("hi").alias("node"), F.col("lo").alias("other"))
-    )
+    """At most one edge per edge; repeats are left to the small star."""
+    ends = F.array(F.struct(F.col("lo").alias("node"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("node"), F.col("lo").alias("other")))
+    both = edges.select(F.explode(ends).alias("x")).select("x.node", "x.other")
     least = both.groupBy("node").agg(F.min("other").alias("m"), F.count("*").alias("n"))
     least = least.select("node", F.least("node", "m").alias("m"), "n")
     up = edges.select(F.col("lo").alias("node"), F.col("hi").alias("other"))
-    return _with_least(up, least, total).select(F.col("m").alias("lo"), F.col("other").alias("hi")).distinct()
+    return _with_least(up, least, total).select(F.col("m").alias("lo"), F.col("other").alias("hi"))
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
@@ -59,10 +59,9 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return moved.unionByName(least.select(F.col("m").alias("lo"), F.col("node").alias("hi"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
+def _state() -> dict[str, Column]:
     """Number of edges and an order-free sum of their hashes; equal states mean equal edge sets."""
-    n, s = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-    return n, int(s or 0)
+    return {"n": F.count("*"), "s": F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))}
 
 
 def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -72,22 +71,24 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: i
     An empty table gives an empty result. Nodes compare by value; strings by code point.
 
     Raises ``RuntimeError`` if ``max_rounds`` rounds don't reach the fixed point (the number of rounds grows with the
-    logarithm of the longest chain).
+    logarithm of the longest chain). Each round is written to the shared checkpoint folder and the one before it deleted, so
+    the disk in use is that of two rounds, however many there are; the last one stays, as the result is read from it.
     """
     x, y = F.col(a), F.col(b)
-    edges = cut_lineage(pairs.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")).distinct())
-    state = _state(edges)
+    links = pairs.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi"))
+    held = Written(links.distinct(), **_state())
     for _ in range(max_rounds):
-        if not state[0]:
+        n = held.metrics["n"]
+        if not n:
             break
-        edges = cut_lineage(_small_star(_large_star(edges, state[0]), state[0]))
-        state, before = _state(edges), state
-        if state == before:
+        held, before = Written(_small_star(_large_star(held.df, n), n), **_state()), held
+        before.drop()  # the next round is written, so no task can ask for this one again
+        if held.metrics == before.metrics:
             break
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    leaves = edges.select(F.col("hi").alias("node"), F.col("lo").alias("group"))
-    return leaves.unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("group")).distinct())
+    leaves = held.df.select(F.col("hi").alias("node"), F.col("lo").alias("group"))
+    return leaves.unionByName(held.df.select(F.col("lo").alias("node"), F.col("lo").alias("group")).distinct())
 
 
 def record_links(records: DataFrame, names: str = "ref_names", multi: str = "multi_count") -> DataFrame:

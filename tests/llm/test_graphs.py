@@ -51,13 +51,24 @@ def test_names_compare_by_code_point(spark):
 
 
 def test_hubs_are_joined_apart(spark, monkeypatch):
-    monkeypatch.setattr(components, "HUB_LEAST", 20)
+    monkeypatch.setattr(components, "BROADCAST_EDGES", 0)
     monkeypatch.setattr(components, "HUB_SHARE", 0.1)
     r = random.Random(2)
     pairs = [(500, i) for i in range(200)] + [(r.randrange(600, 900), r.randrange(600, 900)) for _ in range(250)]
     assert found(spark, pairs) == groups_plain(pairs)
 
 
+def test_rounds_are_deleted(spark):
+    import os
+
+    from hitloom.session import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert found(spark, [(i, i + 1) for i in range(30)]) == groups_plain([(i, i + 1) for i in range(30)])
+    assert len([x for x in set(os.listdir(folder)) - before if len(x) == 32]) == 1
+
+
 def test_records(spark):
     rows = [(1, [" a", "b\r"], 2), (1, [" a", "b\r"], 2), (2, ["b", "c", None, ""], 2), (3, ["x", "y"], 1), (4, ["x", "z"], None), (5, ["q", "q"], 2), (6, None, 2), (7, [], 3), (8, ["p", "o"], 5)]
     df = spark.createDataFrame(rows, "record_no long, ref_names array<string>, multi_count int")
@@ -94,6 +105,26 @@ def test_cooccurrence(spark):
     assert cooccur.cooccurrence(df.limit(0)).count() == 0
 
 
+def test_wide_baskets(spark, monkeypatch):
+    """One basket whose pairs would not fit into a task at once, and the split of wide ones against all combinations."""
+    wide = spark.range(3000).select(F.lit(1).alias("record_no"), F.array(F.format_string("i%05d", "id")).alias("ref_names"))
+    out = cooccur.cooccurrence(wide).agg(F.count("*").alias("n"), F.min("n_ab").alias("low"), F.max("n_a").alias("top")).first()
+    assert tuple(out) == (3000 * 2999 // 2, 1, 1)
+    monkeypatch.setattr(cooccur, "WIDE", 4)
+    monkeypatch.setattr(cooccur, "LEFT", 3)
+    monkeypatch.setattr(cooccur, "BATCH", 5)
+    lists = [sorted({f"x{(k * 7 + j) % 40:02d}" for j in range(k)}) for k in range(1, 30)]
+    got = Counter(tuple(x) for x in cooccur.ordered_pairs(spark.createDataFrame([(x,) for x in lists], "items array<string>")).collect())
+    assert got == Counter(p for x in lists for p in itertools.combinations(x, 2))
+
+
+def test_threshold_in_whole_numbers(spark):
+    rows = [(k, ["a", "b"]) for k in range(3)] + [(k, ["a"]) for k in range(3, 7)] + [(k, ["c"]) for k in range(7, 10)]
+    df = spark.createDataFrame(rows, "record_no long, ref_names array<string>")
+    for least, want in ((10 / 7, 0), (1.4285714285714286, 0), (1.428571428571428, 1), (1.4, 1)):  # the lift is 30 / 21
+        assert cooccur.cooccurrence(df, min_lift=least).count() == want
+
+
 def test_heavy_hitters(spark):
     r = random.Random(6)
     rows = [(r.choice(["top", None, f"v{r.randrange(20)}", f"w{r.randrange(5000)}"]), 1) for _ in range(20_000)]
