@@ -17,10 +17,10 @@ from pyspark.sql.window import Window
 from ..functions.text import clean
 from ..session import cut_lineage, spread
 
-#: Bits of the sampling order that the histogram per source has.
-BUCKET_BITS = 12
-#: The table of targets is read to the driver; it may have at most this many sources.
-MAX_SOURCES = 10_000
+#: Hexadecimal digits of the sampling order that the histogram per source has.
+BUCKET_DIGITS = 3
+#: Up to this many sources the cuts, one row a source, are broadcast.
+BROADCAST_SOURCES = 100_000
 # Fixed value: the pattern by which this vocabulary's texts are cut into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -64,93 +64,92 @@ def source_name(c: Column) -> Column:
     return F.lower(F.replace(clean(c), F.lit("-"), F.lit("_")))
 
 
-def water_fill(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
-    """Tokens that each source contributes.
+def water_fill(sources: DataFrame, total: float | None = None) -> DataFrame:
+    """``sources(src, w, k, size)`` with ``cap`` and ``wanted``, the tokens that each source contributes.
 
     Without ``total``, the largest mix in which every source that has tokens reaches its share exactly. With it, sources
-    whose share of ``total`` is over their cap, ``max_repeat`` times their size, are clamped to it and their excess goes to
-    the others in proportion to their shares, until none is over its cap; if all are clamped, the mix stays below ``total``.
+    whose share of ``total`` is over their cap, ``k`` times their size, are clamped to it and their excess goes to the
+    others in proportion to their weights, until none is over its cap; if all are clamped, the mix stays below ``total``.
+
+    All sources that aren't clamped have the same contribution per weight, the *level*, and those are clamped whose cap per
+    weight is below it. Clamping only ever raises the level, so it is all that a round hands on, and each is one aggregation.
+    A null or negative weight or number of repetitions counts as 0.
     """
-    caps = {s: float(sizes.get(s, 0) * max(0, r)) for s, (_, r) in targets.items()}
-    open_ = {s: w for s, (w, _) in targets.items() if w > 0 and caps[s] > 0}
-    out = dict.fromkeys(targets, 0.0)
-    weight = sum(open_.values())
-    if not open_:
-        return out
-    left = min(caps[s] * weight / w for s, w in open_.items()) if total is None else float(total)
-    while open_ and left > 0:
-        weight = sum(open_.values())
-        over = [s for s, w in open_.items() if left * w / weight > caps[s] * (1 + 1e-12)]
-        if not over:
-            for s, w in open_.items():
-                out[s] = left * w / weight
-            break
-        # Clamping one source only raises the others' parts, so all that are over their caps now stay clamped.
-        for s in over:
-            out[s] = caps[s]
-            del open_[s]
-        left -= sum(caps[s] for s in over)
-    return out
-
-
-def _cuts(histogram: list, wanted: dict[str, float]) -> list[tuple[str, int, int, int]]:
-    """``(source, whole repetitions, bucket of the cut, tokens that are left for it)``."""
-    by_source: dict[str, dict[int, int]] = {}
-    for r in histogram:
-        by_source.setdefault(r.src, {})[r.bucket] = r.tokens
-    out = []
-    for s, buckets in by_source.items():
-        size = sum(buckets.values())
-        if not size or not wanted.get(s):
-            continue
-        whole = int(math.floor(wanted[s] / size + 1e-12))
-        rest, cut = max(0.0, wanted[s] - whole * size), -1
-        for b in range(1 << BUCKET_BITS):
-            cut = b
-            if (n := buckets.get(b, 0)) > rest:
+    zero = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    s = sources.withColumns({"w": zero(F.col("w")).cast("double"), "cap": (zero(F.col("k")) * zero(F.col("size"))).cast("double"), "size": zero(F.col("size")).cast("long")})
+    s = cut_lineage(s)
+    open_ = (F.col("w") > 0) & (F.col("cap") > 0)
+    ratio = F.when(open_, F.col("cap") / F.col("w"))
+    if total is None:
+        level = s.agg(F.min(ratio)).first()[0] or 0.0
+    else:
+        level, clamped = 0.0, -1
+        while True:
+            over = ratio < F.lit(level * (1 - 1e-12))
+            caps, weight, n = s.agg(F.sum(F.when(over, F.col("cap"))), F.sum(F.when(open_ & ~over, F.col("w"))), F.count(F.when(over, 1))).first()
+            if n == clamped:
                 break
-            rest -= n
-        out.append((s, whole, cut, int(rest)))
-    return out
+            clamped, level = n, (float(total) - (caps or 0.0)) / weight if weight else math.inf
+    # An infinite level times a weight is infinite, so that the cap is what is left.
+    return s.withColumn("wanted", F.when(open_, F.least("cap", F.lit(level) * F.col("w"))).otherwise(0.0))
+
 
+def _cuts(histogram: DataFrame, filled: DataFrame) -> DataFrame:
+    """``(src, whole, cut, rest)``: whole repetitions, the bucket in which the fraction beyond them ends and the tokens that are left for it.
 
-def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | str | None = None, seed: int = 7, path: str | None = None) -> DataFrame:
+    ``histogram(src, bucket, tokens)``: a running sum over the buckets of each source, at most ``16**BUCKET_DIGITS``.
+    """
+    s = filled.where((F.col("size") > 0) & (F.col("wanted") > 0)).select("src", F.floor(F.col("wanted") / F.col("size") + 1e-12).alias("whole"), "size", "wanted")
+    s = s.select("src", "whole", F.greatest(F.lit(0.0), F.col("wanted") - F.col("whole") * F.col("size")).alias("rest"))
+    upto = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    h = histogram.withColumn("upto", F.sum("tokens").over(upto)).join(s, "src")
+    after = F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before"))
+    cut = h.groupBy("src", "whole", "rest").agg(F.min(F.when(F.col("upto") > F.col("rest"), after)).alias("c"), F.max(after).alias("last"))
+    c = F.coalesce("c", "last")
+    return cut.select("src", "whole", c["bucket"].alias("cut"), F.floor(F.col("rest") - c["before"]).alias("rest"))
+
+
+def mix_sources(
+    docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, times: float | None = None, seed: int = 7, path: str | None = None,
+    characters: bool = False,
+) -> DataFrame:
     """``(doc_id, source, n_tokens, repeats)``: the documents of the mix and how often each is used.
 
     ``targets`` has ``source`` (unique by letters), ``target_share`` and ``max_repeat``; ``total`` is the size of the mix in
-    tokens, by default the largest at which all shares are exact, or ``all``, as many tokens as the documents of these sources have. Every document is used as often as its source's whole
-    repetitions; the fraction beyond them goes to the documents first in a seeded order, up to the size wanted, so a source
-    falls short by less than one document. No document is used more than ``max_repeat`` times.
+    tokens, or ``times`` that size as a multiple of all tokens of these sources; by default the mix is the largest at which
+    all shares are exact. Every document is used as often as its source's whole repetitions; the fraction beyond them goes to
+    the documents first in a seeded order, up to the size wanted, so a source falls short by less than one document. No
+    document is used more than ``max_repeat`` times. With ``characters`` sizes are characters, not tokens.
 
-    Documents of no or another source, with a null or empty text or not chosen are left out. Rows that repeat an id (null
-    ids too) are one document, in case they differ the one with the smallest source and number of tokens. Empty tables
-    give an empty result.
+    Documents of no or another source, with a null or empty text or not chosen are left out. Rows that repeat an id are one
+    document, in case they differ the one with the smallest source and number of tokens; rows without an id are one document
+    if their texts are equal. Empty tables give an empty result.
 
-    The order is a hash of the id; sizes are added up by source and the order's first ``BUCKET_BITS`` bits, and only the one
-    bucket of each source that holds the cut is sorted.
+    The order is a digest of the seed and the id (or the text's digest); sizes are added up by source and the order's first
+    ``BUCKET_DIGITS`` digits, and only the one bucket of each source that holds the cut is sorted.
     """
-    goal = {r.src: (float(r.w or 0), int(r.k or 0)) for r in targets.select(source_name(F.col("source")).alias("src"), F.col("target_share").alias("w"), F.col("max_repeat").alias("k")).where("src is not null").limit(MAX_SOURCES + 1).collect()}
-    if len(goal) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("src"), F.col(text).alias("text")).where(F.col("src").isin(*goal) if goal else F.lit(False))
-    rows = count_tokens(spread(rows), "text", path).where(F.col("n_tokens") > 0)
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    goal = targets.select(source_name(F.col("source")).alias("src"), F.col("target_share").alias("w"), F.col("max_repeat").alias("k")).where(F.col("src").isNotNull())
+    rows = docs.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("src"), F.col(text).alias("text"))
+    rows = rows.join(goal.select("src"), "src", "left_semi").withColumn("content", F.when(F.col("doc_id").isNull(), F.md5("text")))
+    if characters:
+        rows = rows.select("doc_id", "src", "content", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_tokens"))
+    else:
+        rows = count_tokens(spread(rows), "text", path)
     # Rows that repeat an id are one document. This also keeps the bucket of the cut small whatever is repeated.
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("src", "n_tokens")).alias("d")).select("doc_id", "d.*")
-    rows = cut_lineage(rows.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")))
-    histogram = rows.groupBy("src", "bucket").agg(F.sum("n_tokens").alias("tokens")).collect()  # at most MAX_SOURCES << BUCKET_BITS rows
-    sizes: dict[str, int] = {}
-    for r in histogram:
-        sizes[r.src] = sizes.get(r.src, 0) + r.tokens
-    if total == "all":
-        total = sum(sizes.values())
-    cuts = docs.sparkSession.createDataFrame(_cuts(histogram, water_fill(sizes, goal, total)), "src string, whole int, cut int, rest long")
-    rows = rows.join(F.broadcast(cuts), "src")
+    rows = rows.where(F.col("n_tokens") > 0).groupBy("doc_id", "content").agg(F.min(F.struct("src", "n_tokens")).alias("d")).select("doc_id", "content", "d.*")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("content"))))
+    rows = cut_lineage(rows.select("doc_id", "src", "n_tokens", F.substring(order, 1, 15).alias("h"), F.substring(order, 1, BUCKET_DIGITS).alias("bucket")))
+    histogram = cut_lineage(rows.groupBy("src", "bucket").agg(F.sum("n_tokens").alias("tokens")))
+    sizes = histogram.groupBy("src").agg(F.sum("tokens").alias("size"))
+    if times is not None:
+        total = times * float(sizes.agg(F.sum("size")).first()[0] or 0)
+    cuts = _cuts(histogram, water_fill(goal.join(sizes, "src", "left"), total))
+    rows = rows.join(F.broadcast(cuts) if targets.count() <= BROADCAST_SOURCES else cuts, "src")
     at_cut = rows.where(F.col("bucket") == F.col("cut"))
-    order = Window.partitionBy("src").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    at_cut = at_cut.withColumn("more", (F.sum("n_tokens").over(order) <= F.col("rest")).cast("int"))
+    by = Window.partitionBy("src").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    at_cut = at_cut.withColumn("more", (F.sum("n_tokens").over(by) <= F.col("rest")).cast("int"))
     others = rows.where(F.col("bucket") != F.col("cut")).withColumn("more", (F.col("bucket") < F.col("cut")).cast("int"))
-    chosen = at_cut.unionByName(others).withColumn("repeats", F.col("whole") + F.col("more"))
+    chosen = at_cut.unionByName(others).withColumn("repeats", (F.col("whole") + F.col("more")).cast("int"))
     return chosen.where(F.col("repeats") > 0).select("doc_id", F.col("src").alias("source"), "n_tokens", "repeats")
 
 

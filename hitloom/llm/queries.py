@@ -60,9 +60,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "eval_item", "item_id", "item_text"))
 
 
-def _mix(spark: SparkSession, sf_dir: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame]:
     targets = _read(spark, sf_dir, "source_target", "source", "target_share", "max_repeat")
-    return mix.mix_sources(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), targets, total=total), targets
+    return mix.mix_sources(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), targets, **options), targets
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,31 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_mix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mix of as many tokens as the corpus has: sources over their cap are clamped, their excess goes to the others."""
-    return _mix(spark, sf_dir, "all")[0]
+    return _mix(spark, sf_dir, times=1.0)[0]
+
+
+#: Of so large a mix some sources are over their cap at first, and others once the excess of these is handed on.
+CLAMPED = 1.8
+
+
+def p9_mix_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of 1.8 times the corpus's tokens, for which sources are clamped in two rounds."""
+    return _mix(spark, sf_dir, times=CLAMPED)[0]
+
+
+def p9_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by characters, which SQL can count."""
+    return _mix(spark, sf_dir, times=CLAMPED, characters=True)[0]
+
+
+def p9_characters_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in the mix by characters."""
+    return mix.mix_report(*_mix(spark, sf_dir, times=CLAMPED, characters=True))
+
+
+def p9_exact_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mix with exact target shares by characters."""
+    return _mix(spark, sf_dir, characters=True)[0]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +115,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_record_groups, p2_found, p2_pairs, p4_found, p4_counts, p8_found, p9_mix, p9_report, p9_mix_all, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_record_groups, p2_found, p2_pairs, p4_found, p4_counts, p8_found, p9_mix, p9_report, p9_mix_all, p9_mix_clamped, p9_characters, p9_characters_report, p9_exact_characters, p10_found, p10_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -109,7 +133,31 @@ def oracle_sql() -> dict[str, str]:
     heavy_sql = """select 'fanse_record' as src_table, upper(trim(seq, {b})) as seq_value, count(*) as n from fanse_record where trim(seq, {b}) <> '' group by 2
       having count(*) >= {s} * (select count(*) from fanse_record) union all
       select 'unmapped', upper(trim(sequence, {b})), count(*) from unmapped where trim(sequence, {b}) <> '' group by 2 having count(*) >= {s} * (select count(*) from unmapped)"""
+    source = f"lower(replace(nullif(trim(source, {blank}), ''), '-', '_'))"
+
+    def mixed(times: float | None) -> str:
+        """Water-filling as a recursion of the level; documents in the order of their digest, summed up one by one."""
+        level = "(select min(cap / w) from src where w > 0 and cap > 0)" if times is None else "(select last(level order by round) from fill)"
+        return f"""with recursive goal as (select {source} as src, target_share as w, max_repeat as k from source_target where {source} is not null),
+          one as (select doc_id, min((src, n)) as d from (select doc_id, {source} as src, length(text) as n from documents) where n > 0 and src in (select src from goal) group by doc_id),
+          docs as (select doc_id, d[1] as src, d[2] as n, substr(md5('7:' || doc_id), 1, 15) as h from (select doc_id, [d[1]::varchar, d[2]::varchar] as d from one)),
+          doc as (select doc_id, src, n::bigint as n, h from docs),
+          src as (select src, w, k, coalesce(size, 0) as size, coalesce(size, 0) * k::double as cap from goal left join (select src, sum(n) as size from doc group by 1) using (src)),
+          fill as (select 0 as round, 0.0::double as level, -1::bigint as n union all
+            select round + 1, ({times or 0} * (select sum(size)::double from src) - coalesce(caps, 0)) / weight, m from
+            (select f.round, f.n, sum(cap) filter (cap / w < f.level * (1 - 1e-12)) as caps, sum(w) filter (cap > 0 and w > 0 and cap / w >= f.level * (1 - 1e-12)) as weight, count(*) filter (cap / w < f.level * (1 - 1e-12)) as m
+              from fill f, src group by f.round, f.n, f.level) where m <> n),
+          part as (select src, w, size, floor(least(cap, {level} * w) / size + 1e-12) as whole, least(cap, {level} * w) as wanted from src where size > 0 and w > 0 and cap > 0),
+          ranked as (select doc.*, whole, floor(wanted - whole * size) as rest, sum(n) over (partition by src order by h, doc_id rows unbounded preceding) as upto from doc join part using (src))
+          select doc_id, src as source, n as n_tokens, (whole + (upto <= rest)::int)::int as repeats from ranked where whole + (upto <= rest)::int > 0"""
+
+    report = f"""with m as ({mixed(CLAMPED)}), r as (select source as src, count(*) as n_docs, sum(n_tokens * repeats)::bigint as n_tokens, max(repeats) as top_repeat from m group by 1)
+      select {source} as source, target_share, max_repeat, coalesce(n_docs, 0)::bigint as n_docs, coalesce(r.n_tokens, 0)::bigint as n_tokens, coalesce(top_repeat, 0)::int as top_repeat,
+      round(coalesce(r.n_tokens / sum(r.n_tokens) over (), 0), 6) as actual_share from source_target left join r on r.src = {source}"""
     return {
+        "p9_characters": mixed(CLAMPED),
+        "p9_exact_characters": mixed(None),
+        "p9_characters_report": report,
         "p2_found": f"select a as ref_a, b as ref_b from ({pairs}) where n_ab >= 10 and n_ab * nn >= 8 * n_a * n_b",
         "p2_pairs": f"select a as item_a, b as item_b, n_ab, n_a, n_b, round(n_ab * nn::double / (n_a::double * n_b), 6) as lift from ({pairs})",
         "p4_found": f"select src_table, seq_value from ({heavy_sql.format(b=blank, s=0.004)})",

@@ -137,15 +137,56 @@ def test_broken_encodings():
 
 
 # Mixing
-def test_water_filling():
+def filled(spark, sizes, targets, total=None):
+    rows = [(s, w, k, sizes.get(s)) for s, (w, k) in targets.items()]
+    df = mix.water_fill(spark.createDataFrame(rows, "src string, w double, k int, size long"), total)
+    return {r.src: r.wanted for r in df.collect()}
+
+
+def test_water_filling(spark):
     sizes, targets = {"a": 100, "b": 100, "c": 10}, {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 3)}
-    exact = mix.water_fill(sizes, targets)
+    exact = filled(spark, sizes, targets)
     assert sum(exact.values()) == pytest.approx(150) and exact["c"] == pytest.approx(30) and exact["a"] == pytest.approx(75)
-    more = mix.water_fill(sizes, targets, 200)
+    more = filled(spark, sizes, targets, 200)
     assert more == {"a": pytest.approx(100), "b": pytest.approx(70), "c": pytest.approx(30)}  # c and then a are clamped, b takes the rest
-    assert mix.water_fill(sizes, targets, 10_000) == {"a": 100, "b": 200, "c": 30}
-    assert mix.water_fill({}, targets) == {"a": 0, "b": 0, "c": 0}
-    assert mix.water_fill({"a": 10}, {"a": (0.5, 2), "b": (0.5, 2)})["a"] == 20  # a source without tokens leaves its share to the others
+    assert filled(spark, sizes, targets, 10_000) == {"a": 100, "b": 200, "c": 30}
+    assert filled(spark, {}, targets) == {"a": 0, "b": 0, "c": 0}
+    assert filled(spark, {"a": 10}, {"a": (0.5, 2), "b": (0.5, 2)})["a"] == 20  # a source without tokens leaves its share to the others
+    assert filled(spark, {"a": 10, "b": 10}, {"a": (None, 2), "b": (0.5, None), "c": (-1.0, 2)}, 5) == {"a": 0, "b": 0, "c": 0}
+    assert filled(spark, sizes, targets, 0) == {"a": 0, "b": 0, "c": 0}
+
+
+def plainly_filled(sizes, targets, total):
+    """Round by round, as a plain loop."""
+    open_, out, left = {s for s, (w, k) in targets.items() if w > 0 and k * sizes.get(s, 0) > 0}, dict.fromkeys(targets, 0.0), total
+    while open_ and left > 0:
+        weight = sum(targets[s][0] for s in open_)
+        over = [s for s in open_ if left * targets[s][0] / weight > targets[s][1] * sizes[s] * (1 + 1e-12)]
+        for s in over or open_:
+            out[s] = float(targets[s][1] * sizes[s]) if over else left * targets[s][0] / weight
+        if not over:
+            break
+        left -= sum(out[s] for s in over)
+        open_ -= set(over)
+    return out
+
+
+def test_water_filling_at_random(spark):
+    r = random.Random(12)
+    for _ in range(6):
+        targets = {f"s{i}": (r.random(), r.randrange(0, 4)) for i in range(12)}
+        sizes = {s: r.choice([0, 5, 50, 500]) for s in targets}
+        total = r.randrange(1, 4000)
+        assert filled(spark, sizes, targets, total) == {s: pytest.approx(n) for s, n in plainly_filled(sizes, targets, total).items()}
+
+
+def test_mix_without_ids(spark):
+    rows = [(None, "one two", "a"), (None, "one two", "a"), (None, "three four five", "a"), (1, "six", "a"), (None, None, "a"), (2, "seven", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("A ", 1.0, 1)], "source string, target_share double, max_repeat int")
+    got = sorted((r.doc_id or 0, r.n_tokens) for r in mix.mix_sources(docs, targets, characters=True).collect())
+    assert got == [(0, 7), (0, 15), (1, 3)]
+    assert len(mix.mix_sources(docs, targets).collect()) == 3
 
 
 def test_mix(spark):
@@ -181,7 +222,7 @@ def test_mix_of_all_tokens_clamps(spark, sf_dir):
     used = Counter()
     for r in queries.p9_mix_all(spark, sf_dir).collect():
         used[r.source] += r.n_tokens * r.repeats
-    want = mix.water_fill(sizes, goal, sum(sizes.values()))
+    want = plainly_filled(sizes, goal, sum(sizes.values()))
     clamped = [s for s in goal if sizes[s] and want[s] == sizes[s] * goal[s][1]]
     assert clamped and all(used[s] == want[s] for s in clamped)
     assert all(want[s] - longest[s] - 1 <= used[s] <= want[s] + 1e-6 for s in goal)
