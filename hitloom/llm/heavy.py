@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Rows whose equal hashes are added up before the shuffle, and hashes that one sketch update takes at once.
 BATCH = 1 << 18
+#: Parts that hashes are numbered by, many to a task, so that those of one task can be taken again.
+PARTS = 1 << 16
 
 
 def _add_up(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +64,8 @@ class CountMin:
     def add(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Adds distinct ``hashes``; returns their new estimates.
 
-        Only cells below an item's new estimate are raised, and only up to it.
+        Only cells below an item's new estimate are raised, and only up to it. Estimates are taken before the batch is added,
+        so items of one batch that share cells are overestimated a little more than if added one by one, never underestimated.
         """
         cells = self._cells(hashes)
         est = np.minimum.reduce([row[c] for row, c in zip(self.table, cells)]) + counts
@@ -93,10 +96,11 @@ def heavy_hitters(df: DataFrame, value: Column, share: float, width: int = 1 <<
 
     Null values are no candidates but count as rows. Ties at the threshold are kept. An empty table gives an empty result.
 
-    Memory: per partition a sketch of ``4 * width`` counters and a heap of ``capacity`` hashes (default ``8 / share``).
-    No more than ``1 / share`` values can reach the threshold, so the heaps together, and the table of candidates that
-    is broadcast for the exact count, stay small for any input; a heap that nevertheless had to push out a hash that
-    might reach the threshold makes the exact count run over all values instead.
+    Memory: per task a sketch of ``4 * width`` counters and a heap of ``capacity`` hashes (default ``8 / share``). No more than
+    ``1 / share`` values can reach the threshold, so the heaps together, and the table of candidates that is broadcast for
+    the exact count, stay small for any input. A heap that had to push out a hash that might reach the threshold tells that
+    its sketch is too narrow for its stream: the hashes of that task alone are taken again, with both four times as large,
+    until nothing is pushed out. The exact count is always one of candidates only.
     """
     total = df.count()
     values = df.select(value.alias("value")).where(F.col("value").isNotNull())
@@ -105,31 +109,44 @@ def heavy_hitters(df: DataFrame, value: Column, share: float, width: int = 1 <<
         return empty
     least = max(1, int(np.ceil(share * total - 1e-9)))
     room = capacity or int(8 / share)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grouped() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            held, size = [], 0
-            for b in batches:
-                held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))
-                size += b.num_rows
-                if size >= BATCH:
+    spark = df.sparkSession
+    partial = values.select(F.xxhash64("value").alias("h")).mapInArrow(_partial, "h long, n long").withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int"))
+
+    def heaps(width: int, room: int):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: set[int] = set()
+
+            def grouped() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                held, size = [], 0
+                for b in batches:
+                    parts.update(np.unique(b.column(2).to_numpy(zero_copy_only=False)).tolist())
+                    held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))
+                    size += b.num_rows
+                    if size >= BATCH:
+                        yield _add_up(*map(np.concatenate, zip(*held)))
+                        held, size = [], 0
+                if size:
                     yield _add_up(*map(np.concatenate, zip(*held)))
-                    held, size = [], 0
-            if size:
-                yield _add_up(*map(np.concatenate, zip(*held)))
-
-        kept, lost = sketch_stream(grouped(), least, width, room)
-        hashes, est = [*kept, 0], [*kept.values(), lost]
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(est, pa.int64()), pa.array([False] * len(kept) + [True])], names=["h", "est", "lost"])
-
-    partial = values.select(F.xxhash64("value").alias("h")).mapInArrow(_partial, "h long, n long")
-    heaps = partial.repartition("h").mapInArrow(task, "h long, est long, lost boolean").where(F.col("est") >= least)
-    found = heaps.collect()  # at most `capacity` rows of 8 bytes per partition, a few in practice
-    exact = values
-    if not any(r.lost for r in found):
-        candidates = sorted({r.h for r in found})
-        if not candidates:
-            return empty
-        table = df.sparkSession.createDataFrame([(h,) for h in candidates], "h long")
-        exact = values.withColumn("h", F.xxhash64("value")).join(F.broadcast(table), "h", "left_semi")
+
+            kept, lost = sketch_stream(grouped(), least, width, room)
+            again = sorted(parts) if lost >= least else []
+            columns = [pa.array([*kept, *[None] * len(again)], pa.int64()), pa.array([*[None] * len(kept), *again], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "again"])
+
+        return task
+
+    candidates, rows = set(), partial
+    while True:
+        # At most `room` hashes of each task, a few in practice, and the numbers of parts to take again.
+        found = rows.repartition("part").mapInArrow(heaps(width, room), "h long, again int").collect()
+        candidates |= {r.h for r in found if r.h is not None}
+        again = sorted({r.again for r in found if r.again is not None})
+        if not again:
+            break
+        width, room = width * 4, room * 4
+        rows = partial.join(F.broadcast(spark.createDataFrame([(p,) for p in again], "part int")), "part", "left_semi").select("h", "n", "part")
+    if not candidates:
+        return empty
+    table = spark.createDataFrame([(h,) for h in sorted(candidates)], "h long")
+    exact = values.withColumn("h", F.xxhash64("value")).join(F.broadcast(table), "h", "left_semi")
     return exact.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") >= least)

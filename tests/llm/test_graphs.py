@@ -133,7 +133,7 @@ def test_heavy_hitters(spark):
     for share in (0.2, 0.01, 0.0005):
         want = {v: n for v, n in exact.items() if n >= share * len(rows)}
         assert {x.value: x.n for x in heavy.heavy_hitters(df, F.col("value"), share).collect()} == want
-    # A sketch far too small, and heaps that overflow: the exact way is taken, so nothing is lost.
+    # A sketch far too small, and heaps that overflow: these are taken again, larger, so nothing is lost.
     want = {v: n for v, n in exact.items() if n >= 0.0005 * len(rows)}
     assert {x.value: x.n for x in heavy.heavy_hitters(df, F.col("value"), 0.0005, width=8, capacity=3).collect()} == want
     assert heavy.heavy_hitters(df.limit(0), F.col("value"), 0.1).count() == 0
