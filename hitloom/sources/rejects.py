@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import Written
+
 RECORD = T.StructType(
     [
         T.StructField("header", T.StringType()),
@@ -43,8 +45,6 @@ _BASES = re.compile(r"[ACGTNacgtn]+")
 _DIGITS = re.compile(r"[0-9]+")
 _FIRST_QUOTE = re.compile(r'(?:[^"]++|"")*+"')
 _ALIGNED = re.compile(r"[.x\-*ACGTN]*")
-_BREAKS = str.maketrans({"\r": "", "\n": ""})
-_RESTORE = str.maketrans({"": "\r", "": "\n"})
 
 
 class Refused(ValueError):
@@ -62,11 +62,14 @@ class LineParser:
         if line is None:
             return []
         line = line.rstrip("\r\n")
-        # The reader takes a break inside a field for the end of the line, though here it is content.
-        broken = "\r" in line or "\n" in line
-        # A field left open asks for a second line; there is none, so the reader reports the end of data.
-        fields = next(csv.reader([line.translate(_BREAKS) if broken else line], **self.dialect), [])
-        return [f.translate(_RESTORE) for f in fields] if broken else fields
+        if "\r" not in line and "\n" not in line:
+            # A field left open asks for a second line; there is none, so the reader reports the end of data.
+            return next(csv.reader([line], **self.dialect), [])
+        # The reader takes a break inside a field for the end of the line, though here it is content, so two characters
+        # that the line doesn't hold stand for it.
+        stands = [c for c in map(chr, range(0xE000, 0xE000 + len(line) + 2)) if c not in line][:2]
+        fields = next(csv.reader([line.replace("\r", stands[0]).replace("\n", stands[1])], **self.dialect), [])
+        return [f.replace(stands[0], "\r").replace(stands[1], "\n") for f in fields]
 
 
 def _number(text: str, least: int = 0) -> int:
@@ -120,31 +123,36 @@ def parse_pair(parse: LineParser, head: str | None, hits: str | None) -> tuple:
         return (*[None] * 8, VALUE)
 
 
-def parse_records(df: DataFrame, key: str, head: str = "rec_head", hits: str = "rec_hits") -> DataFrame:
+def parse_records(df: DataFrame, key: str, head: str = "rec_head", hits: str = "rec_hits", keep: bool = False) -> DataFrame:
     """``(key, header, seq, alignment, strands, ref_names, mismatches, positions, multi_count, reason)``, one row per row of ``df``.
 
     ``reason`` is null for a valid record, else the first that applies of ``quoting``, ``column_count`` and ``value``, with
     all other fields null. A null line has no fields. A carriage return at line end is no content. The one mismatch count of a record
     is repeated for every hit. Repeated rows are parsed each for itself; other columns of ``df`` are ignored; an empty table
-    gives an empty result. A ``multi_count`` beyond 64 bits is valid and comes out as the largest long.
+    gives an empty result. A ``multi_count`` beyond 64 bits is valid and comes out as the largest long. With ``keep`` the two
+    lines follow as they came.
     """
+    kept = [head, hits] if keep else []
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = LineParser()
         for b in batches:
             rows = [parse_pair(parse, x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             columns = [pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)] if rows else [pa.array([], t.type) for t in _ARROW]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[key, *(t.name for t in _ARROW)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, *b.columns[1 : 1 + len(kept)]], names=[key, *(t.name for t in _ARROW), *kept])
 
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *RECORD.fields])
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *RECORD.fields, *(df.schema[c] for c in kept)])
     return df.select(key, head, hits).mapInArrow(task, schema)
 
 
 def split_rejects(df: DataFrame, key: str, head: str = "rec_head", hits: str = "rec_hits") -> tuple[DataFrame, DataFrame]:
-    """``(valid, rejects)``: the records, and ``(key, reason)`` with the two lines as they came. Every row of ``df`` is in one of them."""
-    parsed = parse_records(df, key, head, hits)
-    rejects = parsed.where(F.col("reason").isNotNull()).select(key, "reason").join(df.select(key, head, hits), key)
-    return parsed.where(F.col("reason").isNull()).drop("reason"), rejects
+    """``(valid, rejects)``: the records, and ``(key, reason)`` with the two lines as they came. Every row of ``df`` is in exactly one of them.
+
+    Keys may be null or repeat: lines travel with their row, and nothing is joined. Rows are parsed once, into a table in
+    the shared checkpoint folder from which both are read.
+    """
+    parsed = Written(parse_records(df, key, head, hits, keep=True)).df
+    return parsed.where(F.col("reason").isNull()).drop("reason", head, hits), parsed.where(F.col("reason").isNotNull()).select(key, "reason", head, hits)
 
 
 def logical_lines(text: str) -> Iterator[str]:
@@ -209,8 +217,9 @@ def _open_field(line: str, inside: bool = False) -> bool:
 def load_text(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """``(valid, rejects)`` of two-line text files. ``rejects`` has ``file_name, record_no, reason, rec_head, rec_hits``.
 
-    Lines are assembled quote-aware, one file per task; blank lines are skipped; an odd line at the end of a file is a
-    record without a second line.
+    Lines are assembled quote-aware, one file per task, as what a quote opens may end anywhere in the file; blank lines are
+    skipped; an odd line at the end of a file is a record without a second line. Files are parsed once, into a table in the
+    shared checkpoint folder from which both are read.
     """
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
 
@@ -226,6 +235,6 @@ def load_text(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, D
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["file_name", "record_no", "rec_head", "rec_hits", *(t.name for t in _ARROW)])
 
     schema = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("record_no", T.LongType()), T.StructField("rec_head", T.StringType()), T.StructField("rec_hits", T.StringType()), *RECORD.fields])
-    parsed = files.mapInArrow(task, schema)
+    parsed = Written(files.mapInArrow(task, schema)).df
     valid = parsed.where(F.col("reason").isNull()).drop("reason", "rec_head", "rec_hits")
     return valid, parsed.where(F.col("reason").isNotNull()).select("file_name", "record_no", "reason", "rec_head", "rec_hits")

@@ -107,6 +107,26 @@ def test_bed_and_fastx(records, spark):
     assert value(spark, convert.unmapped_sequence(F.col("s")), s=" \r") == "N"
 
 
+def test_pileup_of_several_batches(spark):
+    """Deep tiles whose rows come in several batches, hits over tile borders, against plain loops."""
+    r = random.Random(4)
+    refs = spark.createDataFrame([("a", 200, "ACGT" * 50), ("b", 70, None), ("c", 0, "")], "ref_name string, ref_length int, seq string")
+    rows = [(k, "".join(r.choice("ACGTÑ") for _ in range(r.randrange(1, 90))), [r.choice("abx")], [r.randrange(-2, 190)], ["F"]) for k in range(60)]
+    df = spark.createDataFrame(rows, "record_no long, seq string, ref_names array<string>, positions array<long>, strands array<string>")
+    want = {}
+    for _, letters, (name,), (pos,), _ in rows:
+        for i, base in enumerate(letters):
+            if pos >= 0 and pos + i < {"a": 200, "b": 70}.get(name, 0):
+                want[name, pos + i + 1] = want.get((name, pos + i + 1), "") + base
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = pileup.pileup(hits.with_hits(df), refs).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(x.ref_name, x.pos): x.bases for x in got if x.bases} == want and len(got) == 270
+    assert all(x.ref_base == ("ACGT"[(x.pos - 1) % 4] if x.ref_name == "a" else "N") and len(x.quals) == x.depth for x in got)
+
+
 def test_pileup(records, spark):
     refs = spark.createDataFrame([("c1", 10, "acgtacgtac"), ("c2", 5, "ACGTA"), ("c3", 2, "GG")], "ref_name string, ref_length int, seq string")
     full = {(r.ref_name, r.pos): r for r in pileup.pileup(records, refs).collect()}

@@ -46,6 +46,19 @@ def test_parse_table(spark):
     assert rejects.parse_records(df.limit(0), "raw_id").count() == 0
 
 
+def test_rejects_of_any_key(spark):
+    """Null and repeated keys: every row is in exactly one of the two results, with its own lines."""
+    rows = [(None, "bad", "x"), (7, "a\tb", None), (7, '"open', "y"), (7, "h\tACG", "F\ta\t1\t5\t1"), (None, "h2\tACG", "F\ta\t1\t5\t1"), (8, None, None)]
+    valid, bad = rejects.split_rejects(spark.createDataFrame(rows, "raw_id long, rec_head string, rec_hits string"), "raw_id")
+    assert sorted((r.raw_id or 0, r.header) for r in valid.collect()) == [(0, "h2"), (7, "h")]
+    assert sorted((r.raw_id or 0, r.reason, r.rec_head or "") for r in bad.collect()) == [(0, "column_count", "bad"), (7, "column_count", "a\tb"), (7, "quoting", '"open'), (8, "column_count", "")]
+
+
+def test_breaks_beside_private_characters():
+    parse = rejects.LineParser()
+    assert parse('"a\r\nb\ue000\ue001\ue00a\ue00d"\tc\ue000\r\n') == ["a\r\nb\ue000\ue001\ue00a\ue00d", "c\ue000"]
+
+
 def test_text_with_quoted_breaks(spark, tmp_path):
     p = tmp_path / "a.rec"
     p.write_bytes(b'h1\tACG\r\nF\ta\t1\t5\t1\r\n\r\n"h\n2"\tACG\nF\ta\t1\t5\t1\n"open\tACG\nF\ta\t1\t5\t1\nh4\tACG\n')
