@@ -28,13 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
+from ..session import Written, spread
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
-#: Longest span in characters, and bits of the name gazetteer (2 MB).
-MAX_SPAN, GAZETTEER_BITS = 96, 24
+#: Bits of the name gazetteer for each of its words, and places that a word sets. One word in 170,000 is taken for a name by chance.
+WORD_BITS, HASHES = 32, 8
+#: The gazetteer has 2 MB at least and 256 MB at most, so that it may be broadcast; that is enough for 67 million words, beyond which chance hits grow.
+LEAST_BITS, MOST_BITS = 24, 31
+#: Characters before a house number in which its street begins.
+STREET = 160
 
 # Particles of surnames, name titles, names that are also words, street words, labels of numbers.
 PARTICLES = "de la|de las|de los|van der|van den|von der|van|von|de|del|della|di|da|dos|du|le|la|ten|ter|zu|af|al|el|bin|ben|mac|mc|st\\."
@@ -57,10 +61,10 @@ _DOT_WORD = re.compile(r"(?i)[^a-z](?:dot|punkt|point|punto)[^a-z]")
 _AT = re.compile(r" ?[\[({<] ?(?:at|AT|At|ät|arroba) ?[\])}>] ?| AT | at (?=[\w-]+ dot )|＠")
 _LOCAL = re.compile(r"[\w.+%'-]*[A-Za-z0-9_]")  # on the text before the sign, read backwards
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:(?: ?[\[({<] ?(?:dot|DOT|Dot|punkt|point|punto) ?[\])}>] ?| DOT | dot |\.)[A-Za-z0-9-]+)+")
-_NUMBER = re.compile(r"[+(\d]\d*(?:(?:[ .\-/]|\) ?|[ .\-/]?\()\d+)*")
+_NUMBER = re.compile(r"(?=[+(\d][\d .\-/()]{6})[+(\d]\d*(?:(?:[ .\-/]|\) ?|[ .\-/]?\()\d+)*")
 _ALNUM = re.compile(r"[A-Z](?:[A-Z] \d\d \d\d \d\d [A-Z]|[A-Z]?\d{2}[A-Z0-9]{4,8})(?![\w@\-])")
 _STREET_NUMBER_FIRST = re.compile(
-    rf"\d\d{{0,4}}(?:[A-Za-z]| ?(?:bis|ter|quater))?,? (?:(?:[A-Z][\w'’-]+\.? ){{1,3}}?(?:{STREETS})\b|(?P<fr>(?:{RUE}) (?:(?:de la|de l['’]|du|des|de|d['’]) ?)?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?))"
+    rf"(?<![\w@.,:/\-])\d\d{{0,4}}(?:[A-Za-z]| ?(?:bis|ter|quater))?,? (?:(?:[A-Z][\w'’-]+\.? ){{1,3}}?(?:{STREETS})\b|(?P<fr>(?:{RUE}) (?:(?:de la|de l['’]|du|des|de|d['’]) ?)?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?))"
 )
 _STREET_ES = re.compile(rf"(?<!\w)(?:{CALLE}) ?(?:(?:del|de la|de los|de las|de) )?[A-ZÀ-Þ][\w-]+(?: [A-ZÀ-Þ][\w-]+)?,?(?: (?:n[º°]\.?|núm\.|No\.))?\Z")
 _STREET_AM = re.compile(r"(?<!\w)(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den|Hinter der|Vor dem) [A-ZÄÖÜ][\wäöüß-]+\Z")
@@ -101,48 +105,66 @@ Span = tuple[int, int, str, list[str]]
 
 
 class Gazetteer:
-    """Given names and surnames of the corpus's address headers, as a bitmap of fixed size. A word may be taken for a name by chance, rarely."""
+    """Given names and surnames of the corpus's address headers, as a Bloom filter. A word may be taken for a name by chance, rarely."""
 
     def __init__(self, bitmap: bytes | None = None, words: dict[str, str] | None = None):
         """``words``: flags ``g``, ``s`` or ``gs`` by lower-case word, for training and tests."""
-        self.bitmap, self.cache = bitmap, dict(words or {})
+        self.bitmap, self.words, self.seen = bitmap, dict(words or {}), {}
 
     def _has(self, key: str) -> bool:
-        h = xxhash.xxh64_intdigest(key.encode(), seed=42) & ((1 << GAZETTEER_BITS) - 1)
-        return bool(self.bitmap[h >> 3] >> (h & 7) & 1)
+        h, mask = xxhash.xxh64_intdigest(key.encode(), seed=42), len(self.bitmap) * 8 - 1
+        low, step = h & 0xFFFFFFFF, h >> 32 | 1
+        for i in range(HASHES):
+            at = low + i * step & mask
+            if not self.bitmap[at >> 3] >> (at & 7) & 1:
+                return False
+        return True
 
     def flags(self, word: str) -> str:
         low = word.lower()
-        if (f := self.cache.get(low)) is None:
+        if (f := self.words.get(low)) is None:
             f = "" if self.bitmap is None else "g" * self._has("g:" + low) + "s" * self._has("s:" + low)
-            if len(self.cache) < 200_000:
-                self.cache[low] = f
         return f
 
+    def note(self, word: str) -> tuple[str, int, bool] | tuple[()]:
+        """Flags of a capitalised word, its length without a genitive and whether it is a title; empty if it is nothing of these. Kept in ``seen``."""
+        bare = word[:-2] if word[-2:] in ("'s", "’s") else word
+        f, title = self.flags(bare), bare in _TITLE_WORDS
+        noted = (f, len(bare), title) if f or title else ()
+        if len(self.seen) < 200_000:
+            self.seen[word] = noted
+        return noted
+
 
 def build_gazetteer(docs: DataFrame, text: str = "text") -> bytes:
-    """Bitmap of the words of all display names in the header of every message.
+    """Bloom filter of the words of all display names in the header of every message, as large as their number asks for.
 
-    The bitmap has 2**GAZETTEER_BITS bits whatever the corpus, in rows of 4 KB each put together on the executors, so what
-    reaches the driver and goes back to the tasks is 2 MB at most.
+    The distinct words are written to the shared checkpoint folder and counted on the way. The bitmap is put together on the
+    executors in rows of 4 KB.
     """
     head = F.substring_index(F.substring_index(F.col(text), "\n\n", 1), "\r\n\r\n", 1)
     head = F.when(F.instr(head, "@") > 0, head)
-    quoted = F.regexp_extract_all(head, F.lit(r"""\"([^<>"@\n,:()\[\]]{2,40}, [^<>"@\n,:()\[\]]{2,40})\"[ \t]<[^<>\s@]+@"""), F.lit(1))
-    before = F.regexp_extract_all(head, F.lit(r"""(?m)(?:[:,]|^)[ \t]*"?([^<>"@\n,:()\[\]]{2,60})"?[ \t]<[^<>\s@]+@"""), F.lit(1))
-    after = F.regexp_extract_all(head, F.lit(r"@\S+ \(([^()<>@\n]{2,60})\)"), F.lit(1))
+    quoted = F.regexp_extract_all(head, F.lit(r"""\"([^<>"@\n,:()\[\]]{2,}, [^<>"@\n,:()\[\]]{2,})\"[ \t]<[^<>\s@]+@"""), F.lit(1))
+    before = F.regexp_extract_all(head, F.lit(r"""(?m)(?:[:,]|^)[ \t]*"?([^<>"@\n,:()\[\]]{2,})"?[ \t]<[^<>\s@]+@"""), F.lit(1))
+    after = F.regexp_extract_all(head, F.lit(r"@\S+ \(([^()<>@\n]{2,})\)"), F.lit(1))
     shown = docs.select(F.explode(F.concat(quoted, before, after)).alias("n")).groupBy("n").agg(F.lit(1).alias("one")).select(F.lower(F.trim("n")).alias("n"))
     comma = F.instr("n", ", ") > 0
     words = lambda c: F.split(F.trim(c), r"\s+")
-    first, rest = F.element_at(words(F.col("n")), 1), F.slice(words(F.col("n")), 2, 8)
+    first, rest = F.element_at(words(F.col("n")), 1), F.slice(words(F.col("n")), 2, 1 << 20)
     given = F.when(comma, words(F.substring_index("n", ", ", -1))).otherwise(F.array(first))
     sur = F.when(comma, words(F.substring_index("n", ", ", 1))).otherwise(rest)
     tagged = F.concat(F.transform(given, lambda w: F.concat(F.lit("g:"), w)), F.transform(sur, lambda w: F.concat(F.lit("s:"), w)))
     tokens = shown.where(~F.col("n").rlike(r"\d|=\?")).select(F.explode(tagged).alias("w")).where(F.col("w").rlike(r"^[gs]:\p{L}[\p{L}'’-]+$"))
     tokens = tokens.where(~F.col("w").rlike(rf"^[gs]:({PARTICLES}|{TITLES})$"))
-    bit = F.xxhash64("w").bitwiseAND(F.lit((1 << GAZETTEER_BITS) - 1)) + 1
-    rows = tokens.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
-    out = bytearray(1 << (GAZETTEER_BITS - 3))
+    held = Written(tokens.distinct(), n=F.count("*"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (held.metrics["n"] * WORD_BITS - 1).bit_length()))
+    h = F.xxhash64("w")
+    low, step = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    places = held.df.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: low + i * step)).alias("b"))
+    places = places.select((F.col("b").bitwiseAND(F.lit((1 << bits) - 1)) + 1).alias("b"))
+    rows = places.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
+    held.drop()
+    out = bytearray(1 << (bits - 3))
     for r in rows:
         at = (r.k - 1) * len(r.bits)
         out[at : at + len(r.bits)] = r.bits
@@ -163,29 +185,51 @@ def _line(text: str, a: int) -> str:
     return line[_MARKS.match(line).end() :]
 
 
-def _context(text: str, a: int, b: int, line: str | None = None) -> tuple[str, str, str]:
-    """The line before the span (if given, its last 24 characters are enough), the word or sign before it and after it.
-
-    Words are looked for beyond a line break where the sentence goes on there; else a line end gives ``^`` or ``$``.
-    """
-    line = _line(text, a) if line is None else line
-    while text[b : b + 1] in ("<", "&") and (m := _TAG.match(text, b)):
-        b = m.end()
-    if line.endswith((">", ";")):
-        line = _TAG.sub(" ", line)
-    alone = not line.strip() and _END.match(text, b)
-    if p := _PREV.search(line[-24:]):
-        prev = p[1].lower()
-    else:
-        start = text.rfind("\n", 0, a)
-        p = _PREV.search(text[max(0, start - 24) : start].rstrip("\r")) if start > 0 else None
-        prev = p[1].lower() if p and p[1][-1].isalnum() else "^"
-    nxt = "$"
-    if n := _NEXT.match(text, b):
-        nxt = n[1].lower()
-    elif not alone and (m := _BREAK.match(text, b)) and (n := _NEXT.match(text, m.end())) and n[1][0].islower():
-        nxt = n[1]
-    return line, prev, nxt
+class Contexts:
+    """What stands round the spans of one text. Spans share their ends, so either side is looked at once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lefts: dict[int, tuple[str, str]] = {}
+        self.rights: dict[int, tuple[str, str]] = {}
+
+    def left(self, a: int) -> tuple[str, str]:
+        """The line before ``a``, without reply marks and markup, and the word or sign before ``a``; at a line's start the word before the break, else ``^``."""
+        if a in self.lefts:
+            return self.lefts[a]
+        text = self.text
+        line = _line(text, a)
+        if line.endswith((">", ";")):
+            line = _TAG.sub(" ", line)
+        if p := _PREV.search(line[-24:]):
+            prev = p[1].lower()
+        else:
+            start = text.rfind("\n", 0, a)
+            p = _PREV.search(text[max(0, start - 24) : start].rstrip("\r")) if start > 0 else None
+            prev = p[1].lower() if p and p[1][-1].isalnum() else "^"
+        self.lefts[a] = line, prev
+        return line, prev
+
+    def right(self, b: int) -> tuple[str, str]:
+        """The word or sign after ``b``, or, at a line's end, none and the word with which the sentence goes on beyond it."""
+        if b in self.rights:
+            return self.rights[b]
+        text, end = self.text, b
+        while text[end : end + 1] in ("<", "&") and (m := _TAG.match(text, end)):
+            end = m.end()
+        nxt = on = ""
+        if n := _NEXT.match(text, end):
+            nxt = n[1].lower()
+        elif (m := _BREAK.match(text, end)) and (n := _NEXT.match(text, m.end())) and n[1][0].islower():
+            on = n[1]
+        self.rights[b] = nxt, on
+        return nxt, on
+
+    def around(self, a: int, b: int) -> tuple[str, str, str]:
+        """``(line, prev, next)``. A span that is alone in its line ends with ``$``, any other may go on in the next line."""
+        line, prev = self.left(a)
+        nxt, on = self.right(b)
+        return line, prev, nxt or (on if line.strip() else "") or "$"
 
 
 def _labels(before: str) -> list[str]:
@@ -205,10 +249,16 @@ def _shape(s: str) -> str:
     return _DIGITS.sub(lambda m: str(len(m[0])), s)
 
 
-def _number_facts(text: str, a: int, b: int, shape: str, dated: bool | None = None) -> list[str]:
+def _number_facts(around: Contexts, a: int, b: int, shape: str, dated: bool | None = None) -> list[str]:
     """``dated``: for a span within a chain of groups, whether its line is a dated field, so that no long line is read for each."""
+    text = around.text
     s = text[a:b]
-    line, prev, nxt = _context(text, a, b, None if dated is None else text[max(0, a - 24) : a])
+    if dated is None:
+        line, prev, nxt = around.around(a, b)
+    else:
+        p = _PREV.search(text[max(0, a - 24) : a])
+        nxt, on = around.right(b)
+        line, prev, nxt = "", p[1].lower() if p else "^", nxt or on or "$"
     f = _labels(_before(text, a))
     f += ["bias", "shape=" + shape, f"digits={sum(map(str.isdigit, s))}", "prev=" + prev]
     if s[0] == "+" or s.startswith("00"):
@@ -226,7 +276,8 @@ def _number_facts(text: str, a: int, b: int, shape: str, dated: bool | None = No
     return f
 
 
-def _numbers(text: str, out: list[Span]) -> None:
+def _numbers(around: Contexts, out: list[Span]) -> None:
+    text = around.text
     for m in _NUMBER.finditer(text):
         s, a = m[0], m.start()
         if len(s) < 7 or _NO_NUMBER.fullmatch(s) or _GLUED_LEFT.match(text[a - 1 : a]) or _GLUED_RIGHT.match(text, m.end()):
@@ -245,7 +296,7 @@ def _numbers(text: str, out: list[Span]) -> None:
                 if 7 <= sum(map(str.isdigit, x)) <= 15 and not _NO_NUMBER.fullmatch(x) and x.count("(") == x.count(")"):
                     if i and dated is None:
                         dated = bool(_DATED_FIELD.match(_line(text, a)))
-                    f = _number_facts(text, a + i, a + e, _shape(x), dated)
+                    f = _number_facts(around, a + i, a + e, _shape(x), dated)
                     out.append((a + i, a + e, "phone", f))
                     if x[0] not in "+(":
                         out.append((a + i, a + e, "id_number", f))
@@ -253,7 +304,7 @@ def _numbers(text: str, out: list[Span]) -> None:
                 break
     for m in _ALNUM.finditer(text):
         if sum(map(str.isdigit, m[0])) >= 5 and not _GLUED_LEFT.match(text[m.start() - 1 : m.start()]):
-            f = _number_facts(text, m.start(), m.end(), _UPPER.sub("A", _shape(m[0])))
+            f = _number_facts(around, m.start(), m.end(), _UPPER.sub("A", _shape(m[0])))
             out.append((m.start(), m.end(), "id_number", f))
 
 
@@ -296,11 +347,11 @@ def _emails(text: str, out: list[Span]) -> None:
                 add(m.start() - local.end(), host.end(), "at-dot" if _DOT_WORD.search(host[0]) else "at")
 
 
-def _addresses(text: str, out: list[Span]) -> None:
+def _addresses(around: Contexts, out: list[Span]) -> None:
+    text = around.text
+
     def add(a: int, b: int, kind: str) -> None:
-        if b - a > MAX_SPAN:
-            return
-        line, prev, nxt = _context(text, a, b)
+        line, prev, nxt = around.around(a, b)
         f = ["bias", kind, "prev=" + prev, "comma" if nxt == "," else "nocomma"]
         if prev == "^":
             f.append("line")
@@ -309,8 +360,6 @@ def _addresses(text: str, out: list[Span]) -> None:
         out.append((a, b, "address", f))
 
     for m in _STREET_NUMBER_FIRST.finditer(text):
-        if _GLUED_LEFT.match(text[m.start() - 1 : m.start()]):
-            continue
         if not m["fr"]:
             add(m.start(), m.end(), "en")
             # "12 Park Road": the shorter reading ends at the first street word, the longer one at a second.
@@ -322,7 +371,10 @@ def _addresses(text: str, out: list[Span]) -> None:
         if last[0].isupper() and _CAPITAL_LAST.search(rest):
             add(m.start(), m.start() + len(rest), "fr-shorter")
     for m in _HOUSE.finditer(text):
-        before = text[max(0, m.start() - 48) : m.start()]
+        at = m.start()
+        if not text.endswith(_STRASSE_ENDS, 0, at) and not (word := text[text.rfind(" ", max(0, at - 40), at) + 1 : at])[:1].isupper() and word[:1] not in ("n", ">", "|"):
+            continue  # a street ends with a name or a mark of its number
+        before = text[max(0, at - STREET) : at]
         if before.endswith(_STRASSE_ENDS) and (name := _STREET_DE.search(before)):
             add(m.start() - len(name[0]), m.end(), "de")
         elif not _STREET_STARTS.isdisjoint(_REPLY_SIGNS.sub(" ", before).split()):
@@ -331,27 +383,30 @@ def _addresses(text: str, out: list[Span]) -> None:
                     add(m.start() - len(name[0]), m.end(), kind)
 
 
-def _names(text: str, gaz: Gazetteer, out: list[Span]) -> None:
-    flags = gaz.flags
+def _names(around: Contexts, gaz: Gazetteer, out: list[Span]) -> None:
+    text, flags = around.text, gaz.flags
     units: list[tuple[int, int, str]] = []  # start, end, flags
     titled: list[tuple[int, int]] = []
+    seen, note = gaz.seen.get, gaz.note
     for m in _CAP.finditer(text):
         word = m[0]
-        if word[-2:] in ("'s", "’s"):
-            word = word[:-2]
-        if word in _TITLE_WORDS and (t := _TITLED.match(text, m.end())) and not flags(t[1]):
+        if (noted := seen(word)) is None:
+            noted = note(word)
+        if not noted:
+            continue
+        f, size, title = noted
+        start, end = m.span()
+        if title and (t := _TITLED.match(text, end)) and not flags(t[1]):
             titled.append(t.span(1))
-        if (f := flags(word)) and not _IN_WORD.match(text[m.start() - 1 : m.start()]) and text[m.end() : m.end() + 1] not in _GOES_ON:
-            units.append((m.start(), m.start() + len(word), f))
+        if f and not _IN_WORD.match(text[start - 1 : start]) and text[end : end + 1] not in _GOES_ON:
+            units.append((start, start + size, f))
     if not units and not titled:
         return
     ends = {e: (s, f) for s, e, f in units}
     starts = {s: (e, f) for s, e, f in units}
 
     def add(a: int, b: int, pattern: str) -> None:
-        if b - a > MAX_SPAN:
-            return
-        line, prev, nxt = _context(text, a, b)
+        line, prev, nxt = around.around(a, b)
         word = text[a:b]
         f = ["bias", pattern, "prev=" + prev, "next=" + nxt]
         if " " not in word and word.lower() in AMBIGUOUS:
@@ -408,10 +463,11 @@ def candidates(text: str, gaz: Gazetteer) -> list[Span]:
     if "base64" in text:
         text = _BASE64.sub(lambda m: " " * len(m[0]), text)
     out: list[Span] = []
+    around = Contexts(text)
     _emails(text, out)
-    _numbers(text, out)
-    _addresses(text, out)
-    _names(text, gaz, out)
+    _numbers(around, out)
+    _addresses(around, out)
+    _names(around, gaz, out)
     return out
 
 
