@@ -45,9 +45,13 @@ PARTICLES = "de la|de las|de los|van der|van den|von der|van|von|de|del|della|di
 TITLES = "dr|prof|mr|mrs|ms|miss|herr|frau|mme|mlle|monsieur|madame|señor|señora|sr|sra|don|doña"
 AMBIGUOUS = frozenset("may will mark rose grace art joy frank bo stone winter reed field rivers harrow june april august hope faith dawn bill jack rob pat sue bob drew grant chase miles lily ivy iris daisy ruby pearl amber summer autumn hunter cook baker smith carter mason page brook brooks lane hill wood woods forest ford marsh moore english french gray grey brown white black green young long short best sharp wise noble bishop king knight pope abbot major max guy gene dean ray jay drake rich".split())
 STREETS = "Street|Road|Lane|Avenue|Terrace|Court|Drive|Close|Way|Square|Row|Hill|Place|Crescent|Gardens|Grove|Park|Walk|Boulevard|Parade|Quay|Mews|St|Rd|Ln|Ave|Ter|Ct|Dr|Cl|Sq|Pl|Blvd|Cres"
-STRASSE = "straße|strasse|str\\.|weg|gasse|ring|platz|allee|damm|ufer|steig|pfad|chaussee|markt|wall|graben"
+STRASSE = "straße|strasse|str\\.|weg|gasse|ring|platz|allee|damm|ufer|steig|pfad|chaussee|markt|wall|graben|straat|laan|plein|gracht|gatan|vägen|vej"
 RUE = "rue|bd|bld|boulevard|av\\.|avenue|chemin|place|quai|allée|impasse|route|cours|passage|square|ruelle"
 CALLE = "Calle|C/|Avda\\.|Avenida|Av\\.|Plaza|Pza\\.|Paseo|Camino|Ronda|Travesía|Carretera|Ctra\\."
+VIA = "Via|Viale|Piazza|Corso|Vicolo|Largo|Rua|Travessa|Praça|Estrada|Alameda|ulica|Ulica|ul\\.|aleja|al\\.|plac"
+VIA_LINKS = "das|dos|da|do|de|del|della|dei|degli|di|e|św\\."
+# Words that begin a sentence or phrase and are no given names, and days and months.
+FUNCTION_WORDS = frozenset("ask see call write contact talk check send visit tell meet read use dear hello hallo hi from to cc with for by at on in of and or but the this that these those our your their his her its some any all both each every many most more new old no not please thanks thank best kind warm der die das den dem des ein eine einen einem diese dieser dieses diesen meine deine seine ihre unsere unser mein dein kein keine sehr viele vielen liebe lieber schöne beste bitte danke wir sie ich es er man wenn sollten sollte können haben sind ist le la les un une des ce cette ces mon ma mes notre votre merci bien nous vous il elle el los las una unos este esta estos mi su nuestro gracias un muchas i we you he she they it if when where what who how why is are was were do does did can could should would will shall may must have has had mon tue wed thu fri sat sun jan feb mar apr jun jul aug sep oct nov dec monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december".split())
 PHONE_LABELS = frozenset("tel tél phone telephone telefon teléfono téléphone mobile mobil móvil portable fax handy call ring dial line direct directo directe durchwahl telefonisch appelez llámame llame anrufen joindre t m p appeler rufnummer numéro número reach text".split())
 ID_LABELS = frozenset("ssn social security passport passeport pasaporte reisepass tax id identity card identity ni insurance national personal personnummer personnel ausweis personalausweis steuer steuernummer idnr dni nie nif documento fiscal sozialversicherung badge licence license".split())
 OTHER_LABELS = frozenset("parcel catalogue catalog invoice order run batch version tile lane sample gene coordinates rechnung facture factura ip server host relay rechner serveur servidor records rows lignes filas einträge replaces ratio percent isbn issn ticket case ref reference tracking serial build article item lot po inv paket colis paquete id esmtp with".split())
@@ -59,6 +63,7 @@ _LOCAL_PART = re.compile(r"[\w.+%'-]+")
 _AT_SIGNS = (" AT ", "at)", "at]", "at}", "at>", "AT)", "AT]", "At)", "At]", "ät)", "arroba", "at )", "at ]", " dot ", "＠")
 _DOT_WORD = re.compile(r"(?i)[^a-z](?:dot|punkt|point|punto)[^a-z]")
 _AT = re.compile(r" ?[\[({<] ?(?:at|AT|At|ät|arroba) ?[\])}>] ?| AT | at (?=[\w-]+ dot )|＠")
+_DOT_BEFORE = re.compile(r"(?<![\w.+%'-])[\w.+%'-]+ (?:dot|DOT|punkt|point|punto) \Z")
 _LOCAL = re.compile(r"[\w.+%'-]*[A-Za-z0-9_]")  # on the text before the sign, read backwards
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:(?: ?[\[({<] ?(?:dot|DOT|Dot|punkt|point|punto) ?[\])}>] ?| DOT | dot |\.)[A-Za-z0-9-]+)+")
 _NUMBER = re.compile(r"(?=[+(\d][\d .\-/()]{6})[+(\d]\d*(?:(?:[ .\-/]|\) ?|[ .\-/]?\()\d+)*")
@@ -67,8 +72,13 @@ _STREET_NUMBER_FIRST = re.compile(
     rf"(?<![\w@.,:/\-])\d\d{{0,4}}(?:[A-Za-z]| ?(?:bis|ter|quater))?,? (?:(?:[A-Z][\w'’-]+\.? ){{1,3}}?(?:{STREETS})\b|(?P<fr>(?:{RUE}) (?:(?:de la|de l['’]|du|des|de|d['’]) ?)?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?))"
 )
 _STREET_ES = re.compile(rf"(?<!\w)(?:{CALLE}) ?(?:(?:del|de la|de los|de las|de) )?[A-ZÀ-Þ][\w-]+(?: [A-ZÀ-Þ][\w-]+)?,?(?: (?:n[º°]\.?|núm\.|No\.))?\Z")
+_VIA_NAME = rf"(?:(?:{VIA_LINKS}) )*[A-ZÀ-ÞĄ-Ż][\w'’-]+(?: (?:(?:{VIA_LINKS}) )*[A-ZÀ-ÞĄ-Ż][\w'’-]+){{0,3}}"
+_STREET_VIA = re.compile(rf"(?<!\w)(?:{VIA}) {_VIA_NAME},?(?: n[º°.]?\.?)?\Z")
+_STREET_NUMBER_VIA = re.compile(rf"(?<![\w@.,:/\-])\d{{1,4}}[A-Za-z]?,? (?:{VIA}) {_VIA_NAME}")
+_STREET_WORDS = frozenset(STREETS.split("|"))
+_VIA_WORDS = tuple(x.replace("\\", "") + " " for x in VIA.split("|"))
 _STREET_AM = re.compile(r"(?<!\w)(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den|Hinter der|Vor dem) [A-ZÄÖÜ][\wäöüß-]+\Z")
-_STREET_STARTS = frozenset(x.replace("\\", "") for x in CALLE.split("|")) | {"Am", "An", "Im", "In", "Auf", "Zum", "Zur", "Unter", "Hinter", "Vor"}
+_STREET_STARTS = frozenset(x.replace("\\", "") for x in f"{CALLE}|{VIA}".split("|")) | {"Am", "An", "Im", "In", "Auf", "Zum", "Zur", "Unter", "Hinter", "Vor"}
 _REPLY_SIGNS = re.compile(r"[>|]")
 _CAPITAL_LAST = re.compile(r"[A-ZÀ-Þ][\w'’-]+\Z")
 _STREET_MORE = re.compile(rf" (?:{STREETS})\b")
@@ -83,6 +93,8 @@ _INITIAL = re.compile(r"(?<![\w.])[A-ZÀ-Þ]\.$")
 _INITIAL_NAME = re.compile(r"[A-ZÀ-Þ]\. ([A-ZÀ-ÖØ-Þ][\w'’]+)")
 _CAP_BEFORE = re.compile(r"(?<![\w@.+/=\-'’])[A-ZÀ-ÖØ-Þ][\w'’]+\Z")
 _TITLED = re.compile(r"\.? ([A-ZÀ-ÖØ-Þ][\w'’-]+)")
+_TITLED_MORE = re.compile(rf"(?: [A-ZÀ-Þ]\.)?(?: (?:{PARTICLES}))? [A-ZÀ-ÖØ-ÞĄ-Ż][\w'’-]+(?![\w@+/=])")
+_PAIR = re.compile(r"([A-ZÀ-ÖØ-ÞĄ-Ż][a-zà-öø-ÿą-ż'’-]{2,}) (?=[A-ZÀ-ÖØ-ÞĄ-Ż])(?:[A-Z]\. )?([A-ZÀ-ÖØ-ÞĄ-Ż][a-zà-öø-ÿą-ż'’-]{2,})(?![\w@+/='’]|\.\w| [A-ZÀ-Þ])")
 _TITLE_WORDS = frozenset("Dr Prof Mr Mrs Ms Miss Herr Frau Mme Mlle Monsieur Madame Señor Señora Sr Sra".split())
 _TITLE = re.compile(rf"(?<!\w)(?:{TITLES})\.? $", re.I)
 _PREV = re.compile(r"([\w'’]+|[^\w\s])[ \t]*\Z")
@@ -344,7 +356,10 @@ def _emails(text: str, out: list[Span]) -> None:
         for m in _AT.finditer(text):
             local, host = before(m.start()), _HOST.match(text, m.end())
             if local and host and not host[0].replace(".", "").isdigit():
-                add(m.start() - local.end(), host.end(), "at-dot" if _DOT_WORD.search(host[0]) else "at")
+                a, dotted = m.start() - local.end(), _DOT_WORD.search(host[0])
+                while dotted and (more := _DOT_BEFORE.search(text, max(0, a - 80), a)):
+                    a = more.start()
+                add(a, host.end(), "at-dot" if dotted else "at")
 
 
 def _addresses(around: Contexts, out: list[Span]) -> None:
@@ -370,6 +385,9 @@ def _addresses(around: Contexts, out: list[Span]) -> None:
         rest, _, last = m[0].rpartition(" ")
         if last[0].isupper() and _CAPITAL_LAST.search(rest):
             add(m.start(), m.start() + len(rest), "fr-shorter")
+    if any(x in text for x in _VIA_WORDS):
+        for m in _STREET_NUMBER_VIA.finditer(text):
+            add(m.start(), m.end(), "via")
     for m in _HOUSE.finditer(text):
         at = m.start()
         if not text.endswith(_STRASSE_ENDS, 0, at) and not (word := text[text.rfind(" ", max(0, at - 40), at) + 1 : at])[:1].isupper() and word[:1] not in ("n", ">", "|"):
@@ -378,7 +396,7 @@ def _addresses(around: Contexts, out: list[Span]) -> None:
         if before.endswith(_STRASSE_ENDS) and (name := _STREET_DE.search(before)):
             add(m.start() - len(name[0]), m.end(), "de")
         elif not _STREET_STARTS.isdisjoint(_REPLY_SIGNS.sub(" ", before).split()):
-            for kind, pattern in (("es", _STREET_ES), ("de-am", _STREET_AM)):
+            for kind, pattern in (("es", _STREET_ES), ("via", _STREET_VIA), ("de-am", _STREET_AM)):
                 if name := pattern.search(before):
                     add(m.start() - len(name[0]), m.end(), kind)
 
@@ -400,7 +418,14 @@ def _names(around: Contexts, gaz: Gazetteer, out: list[Span]) -> None:
             titled.append(t.span(1))
         if f and not _IN_WORD.match(text[start - 1 : start]) and text[end : end + 1] not in _GOES_ON:
             units.append((start, start + size, f))
-    if not units and not titled:
+    pairs = []
+    for m in _PAIR.finditer(text):
+        first, second = m.groups()
+        if first.lower() in FUNCTION_WORDS or second.lower() in FUNCTION_WORDS or second in _STREET_WORDS or seen(first) or seen(second):
+            continue
+        if not _IN_WORD.match(text[m.start() - 1 : m.start()]):
+            pairs.append(m.span())
+    if not units and not titled and not pairs:
         return
     ends = {e: (s, f) for s, e, f in units}
     starts = {s: (e, f) for s, e, f in units}
@@ -409,7 +434,11 @@ def _names(around: Contexts, gaz: Gazetteer, out: list[Span]) -> None:
         line, prev, nxt = around.around(a, b)
         word = text[a:b]
         f = ["bias", pattern, "prev=" + prev, "next=" + nxt]
-        if " " not in word and word.lower() in AMBIGUOUS:
+        if pattern in ("??", "T??"):  # contexts of words that nothing else tells to be names weigh for themselves
+            f = [pattern, pattern + ":prev=" + prev, pattern + ":next=" + nxt, pattern + ":first=" + word.partition(" ")[0].lower()]
+            if not line.strip():
+                f.append(pattern + ":line")
+        elif " " not in word and word.lower() in AMBIGUOUS:
             f = ["bias", "ambiguous", "amb:prev=" + prev, "amb:next=" + nxt]
             if prev.isdigit() or nxt.isdigit():
                 f.append("amb:number")
@@ -428,6 +457,11 @@ def _names(around: Contexts, gaz: Gazetteer, out: list[Span]) -> None:
     # Surnames that no header shows: after a title, or after a given name with or without an initial.
     for s, e in titled:
         add(s, e, "T?")
+        if m := _TITLED_MORE.match(text, e):
+            add(s, m.end(), "T??")
+    # Two words that no header shows.
+    for s, e in pairs:
+        add(s, e, "??")
     for s, e, f in units:
         if "g" in f:
             add(s, e, "G")
