@@ -202,6 +202,23 @@ def test_blocks_and_gaps(spark, width):
 def test_blocks_of_extremes(spark):
     df = spark.createDataFrame([("g", 0, 2**62), ("g", 5, 6)], "gene string, s long, e long")
     assert [tuple(x) for x in coverage.merge_blocks(df, ["gene"], "s", "e").collect()] == [("g", 0, 2**62)]
+    # Long intervals over many shards, with others inside, at their ends, and one stray coordinate far away.
+    r = random.Random(3)
+    rows = [("g", a, a + r.choice([1, 3, 40, 400])) for a in (r.randrange(-300, 900) for _ in range(60))] + [("h", 0, 95), ("h", 20, 21), ("h", 95, 100), ("h", 130, 131), ("h", 2**61, 2**61 + 5)]
+    covered = {}
+    for g, a, z in rows[:-1]:
+        covered.setdefault(g, set()).update(range(a, z))
+    want = set()
+    for g, xs in covered.items():
+        for x in xs:
+            if x - 1 not in xs:
+                z = x
+                while z in xs:
+                    z += 1
+                want.add((g, x, z))
+    want.add(("h", 2**61, 2**61 + 5))
+    got = coverage.merge_blocks(spark.createDataFrame(rows, "gene string, s long, e long"), ["gene"], "s", "e", 10)
+    assert {tuple(x) for x in got.collect()} == want
     assert coverage.blocks_and_gaps(df.limit(0), ["gene"], "s", "e").count() == 0
 
 
