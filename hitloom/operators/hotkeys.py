@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Width, in values, of the ranges by which a percentile is first narrowed down.
-RANGE = 1024
+from ..session import cut_lineage
+
+#: Parts into which the span of a key's values is cut, round by round, on the way to a percentile.
+PARTS = 1024
 
 
 def weighted_values(df: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -40,21 +42,30 @@ def weighted_percentiles(weighted: DataFrame, percents: Sequence[int]) -> DataFr
     """``(key, percent, value)``: the smallest value with at least ``percent`` % of the key's non-null values at or below it.
 
     ``weighted`` holds whole-number values (null ones don't count; a key with null values only has no row).
-    Values are first summed by ranges of ``RANGE`` values, so the running sum of a key goes over its ranges, and then
-    over the values of the one range that holds the percentile; no key's values are sorted as a whole.
+    The span of each key's values, which depends on nothing but the data, is cut into ``PARTS`` ranges; the one that holds
+    the percentile is cut again, until ranges are single values: one round for spans of up to 1,024, two up to a million,
+    seven for any. A running sum goes over at most ``PARTS`` rows of a key and percentile, however many values it has.
     """
-    w = weighted.where(F.col("value").isNotNull()).withColumn("range", F.floor(F.col("value") / RANGE))
-    ranges = w.groupBy("key", "range").agg(F.sum("n").alias("n"))
-    by_key = Window.partitionBy("key").orderBy("range")
-    ranges = ranges.withColumn("upto", F.sum("n").over(by_key)).withColumn("total", F.sum("n").over(Window.partitionBy("key")))
-    wanted = ranges.withColumn("percent", F.explode(F.array(*[F.lit(int(p)) for p in percents])))
-    # The rank of the wanted value, from 1.
-    wanted = wanted.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("percent") * F.col("total") / 100)).cast("long"))
-    wanted = wanted.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).select("key", "range", "percent", "rank", (F.col("upto") - F.col("n")).alias("below"))
-    inside = w.join(wanted, ["key", "range"])
-    at = Window.partitionBy("key", "range", "percent").orderBy("value")
-    inside = inside.withColumn("upto", F.col("below") + F.sum("n").over(at))
-    return inside.where(F.col("upto") >= F.col("rank")).groupBy("key", "percent").agg(F.min("value").alias("value"))
+    w = weighted.where(F.col("value").isNotNull()).select("key", F.col("value").cast("long").alias("value"), "n")
+    spans = w.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total"))
+    # The rank of the wanted value, from 1. Spans are kept as decimals, as they may be wider than a long.
+    rank = F.greatest(F.lit(1), F.ceil(F.col("percent") * F.col("total") / 100)).cast("long")
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    todo = spans.select("key", wide("low").alias("low"), wide("high").alias("high"), F.explode(F.array(*[F.lit(int(p)) for p in percents])).alias("percent"), "total")
+    todo = todo.select("key", "percent", rank.alias("rank"), "low", "high")
+    todo = cut_lineage(todo)
+    while True:
+        width = F.ceil((F.col("high") - F.col("low") + 1) / F.lit(PARTS)).cast("decimal(20,0)")
+        inside = w.join(todo.withColumn("width", width), "key").where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")))
+        part = F.floor((F.col("value") - F.col("low")) / F.col("width")).cast("int")
+        sums = inside.groupBy("key", "percent", "rank", "low", "high", "width", part.alias("part")).agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("key", "percent").orderBy("part"))
+        met = sums.withColumn("upto", upto).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+        start = (F.col("low") + F.col("part") * F.col("width")).cast("decimal(20,0)")
+        end = F.least("high", (start + F.col("width") - 1).cast("decimal(20,0)"))
+        todo = cut_lineage(met.select("key", "percent", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), start.alias("low"), end.alias("high")))
+        if todo.where(F.col("low") < F.col("high")).isEmpty():
+            return todo.select("key", "percent", F.col("low").cast("long").alias("value"))
 
 
 def frequent_keys(weighted: DataFrame, share: float, total: int) -> DataFrame:

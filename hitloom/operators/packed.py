@@ -102,6 +102,19 @@ class Segmenter:
         return out
 
 
+_built: dict[int, Segmenter] = {}
+
+
+def _segmenter(words: tuple[str, ...]) -> Segmenter:
+    """One automaton per worker process and dictionary, not per task."""
+    key = hash(words)
+    if key not in _built:
+        if len(_built) > 4:
+            _built.clear()
+        _built[key] = Segmenter(words)
+    return _built[key]
+
+
 def split_packed(df: DataFrame, key: str, fields: Sequence[str], dictionary: DataFrame | None = None) -> DataFrame:
     """``(row_id, field_name, item_pos, item_value)``: one row per value of the packed string columns ``fields``.
 
@@ -113,16 +126,16 @@ def split_packed(df: DataFrame, key: str, fields: Sequence[str], dictionary: Dat
 
     ``dictionary`` has one string column of known whole values, of at most ``MAX_DICTIONARY`` rows.
     """
-    words: list[str] = []
+    words: tuple[str, ...] = ()
     if dictionary is not None:
-        words = [r[0] for r in dictionary.where(F.col(dictionary.columns[0]).isNotNull()).distinct().limit(MAX_DICTIONARY + 1).collect()]
+        words = tuple(r[0] for r in dictionary.where(F.col(dictionary.columns[0]).isNotNull()).distinct().limit(MAX_DICTIONARY + 1).collect())
         if len(words) > MAX_DICTIONARY:
             raise ValueError(f"the dictionary has more than {MAX_DICTIONARY} values")
     held = df.sparkSession.sparkContext.broadcast(words)
     names = list(fields)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(held.value)
+        segmenter = _segmenter(held.value)
         for b in batches:
             ids, kinds, places, values = [], [], [], []
             keys = b.column(0).to_pylist()

@@ -34,6 +34,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("src_table", F.lit("fanse_packed")).unionByName(b.withColumn("src_table", F.lit("counts_isoform_level_multi")))
 
 
+#: How the values of p5_known_names are set apart.
+SIGNS = (", ", " ", " | ", ";", "  /  ")
+
+
+def p5_known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, brands and types of parts, packed in several ways: names hold blanks and brands ``#``, which the dictionary of whole values protects."""
+    parts = _read(spark, sf_dir, "part")
+    names = [F.col(c) for c in ("p_name", "p_brand", "p_type")]
+    known = parts.select(F.explode(F.array(*names)))
+    sign = F.get(F.array(*[F.lit(x) for x in SIGNS]), (F.col("p_partkey") % len(SIGNS)).cast("int"))
+    line = F.concat(names[0], sign, names[1], sign, names[2])
+    return packed.split_packed(parts.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("["), line, F.lit("]"))).otherwise(line).alias("packed")), "p_partkey", ["packed"], known)
+
+
 def _name_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Names of fanse_record with the mismatches of their hit, by frequency; the number of all names."""
     rows = _read(spark, sf_dir, "fanse_record").select("ref_names", "mismatches")
@@ -73,7 +87,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_records, p5_found, p6_found, p6_reference_profile, p6_gene_percentiles, p7_found)}
+    return {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_known_names, p6_found, p6_reference_profile, p6_gene_percentiles, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -111,6 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"select raw_id, reason from {raw} where reason is not null",
         "p3_records": f"select raw_id, a[1] as header, a[2] as seq, b[1] as strands, b[2] as ref_names, array_to_string(list_transform(string_split(b[4], ','), lambda x: b[3]::bigint), ',') as mismatches, array_to_string(list_transform(string_split(b[4], ','), lambda x: x::bigint), ',') as positions, b[5]::bigint as multi_count from {raw} where reason is null",
         "p5_found": packed_sql,
+        "p5_known_names": "select p_partkey as row_id, 'packed' as field_name, i - 1 as item_pos, [p_name, p_brand, p_type][i] as item_value from part, unnest([1, 2, 3]) as t(i)",
         "p6_found": f"""select 'fanse_record' as src_table, name as key_value from {hits} where name is not null group by name
           having count(*) >= 0.02 * (select count(name) from {hits}) union all
           select 'counts', gene from {genes} where gene is not null group by gene having count(*) >= 0.02 * (select count(*) from counts)""",

@@ -172,6 +172,18 @@ def test_hot_keys(spark):
     assert hotkeys.key_profile(w.limit(0)).count() == 0
 
 
+def test_percentiles_of_wide_values(spark):
+    """Spans beyond a long, single values, ties, a key that holds most rows."""
+    r = random.Random(2)
+    rows = [("hot", r.choice([-(2**63), 2**63 - 1, r.randrange(-(2**62), 2**62), 7]), 1) for _ in range(400)] + [("one", 5, 3), ("none", None, 2), ("two", -4, 1), ("two", 2**40, 1)]
+    got = {(x.key, x.percent): x.value for x in hotkeys.weighted_percentiles(spark.createDataFrame(rows, "key string, value long, n long"), [1, 50, 90, 100]).collect()}
+    for key in ("hot", "one", "two"):
+        v = sorted(y for k, y, n in rows if k == key for _ in range(n))
+        assert {p: got[key, p] for p in (1, 50, 90, 100)} == {p: v[max(1, -(-p * len(v) // 100)) - 1] for p in (1, 50, 90, 100)}
+    assert len(got) == 12
+    assert hotkeys.weighted_percentiles(spark.createDataFrame([], "key string, value long, n long"), [50]).count() == 0
+
+
 # Intervals
 def blocks_plain(rows):
     by, out = defaultdict(list), set()
