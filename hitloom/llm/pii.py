@@ -430,27 +430,36 @@ def _names(around: Contexts, gaz: Gazetteer, out: list[Span]) -> None:
     ends = {e: (s, f) for s, e, f in units}
     starts = {s: (e, f) for s, e, f in units}
 
+    starting: dict[int, tuple] = {}
+
     def add(a: int, b: int, pattern: str) -> None:
-        line, prev, nxt = around.around(a, b)
+        # What a start gives is the same for every name that begins there.
+        if (start := starting.get(a)) is None:
+            line, prev = around.left(a)
+            starting[a] = start = line, prev, not line.strip(), bool(_TITLE.search(line[-12:])), bool(_ADDRESS_FIELD.match(line))
+        line, prev, blank, titled, field = start
+        nxt, on = around.right(b)
+        if not nxt:
+            nxt = on if on and not blank else "$"
         word = text[a:b]
         f = ["bias", pattern, "prev=" + prev, "next=" + nxt]
         if pattern in ("??", "T??"):  # contexts of words that nothing else tells to be names weigh for themselves
             f = [pattern, pattern + ":prev=" + prev, pattern + ":next=" + nxt, pattern + ":first=" + word.partition(" ")[0].lower()]
-            if not line.strip():
+            if blank:
                 f.append(pattern + ":line")
         elif " " not in word and word.lower() in AMBIGUOUS:
             f = ["bias", "ambiguous", "amb:prev=" + prev, "amb:next=" + nxt]
             if prev.isdigit() or nxt.isdigit():
                 f.append("amb:number")
-            if not line.strip() and nxt in (",", "$", "-", ":"):
+            if blank and nxt in (",", "$", "-", ":"):
                 f.append("amb:line")
             elif prev in ".?!^":
                 f.append("amb:start")
-        if _TITLE.search(line[-12:]):
+        if titled:
             f.append("title")
         if word.isupper() and len(word) > 3:
             f.append("upper")
-        if nxt == "<" or nxt == '"' or _ADDRESS_FIELD.match(line):
+        if nxt == "<" or nxt == '"' or field:
             f.append("field")
         out.append((a, b, "name", f))
 
