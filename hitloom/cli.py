@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import annotate, convert, count, gene, hits, pileup, quant, sam, sort, tracks
-from .session import get_spark
+from .session import Written, get_spark
 from .sinks import files, tables
 from .sources import annotation, counts, fastx, paths, records
 from .sources import sam as sam_source
@@ -37,26 +37,40 @@ def _count(spark: SparkSession, a: argparse.Namespace) -> None:
         inputs = [p for p in inputs if p in todo]
         if not inputs:
             return
-    combos = count.combinations(_records(spark, ",".join(inputs)))
-    note = annotation.load_annotation(spark, a.annotation) if a.annotation else None
+    # The text is read and parsed once; every table is made from the far smaller table of combinations.
+    held = Written(count.combinations(_records(spark, ",".join(inputs))))
+    combos = held.df
+    noted = Written(annotation.load_annotation(spark, a.annotation)) if a.annotation else None
+    note = noted.df if noted else None
     none = spark.createDataFrame([], "key string, length double")
     lengths = count.lengths_of(note, a.length) if note is not None else none
     out: dict[str, DataFrame] = {}
+    sets = None
     if a.level in ("isoform", "both"):
         out["isoform_unique"] = tables.isoform_unique_table(combos, lengths, note)
         eff = quant.length_maps(note, "isoform").select("key", F.col("eff_length").alias("length")) if note is not None else none
         out["isoform_multi"] = tables.isoform_multi_table(combos, lengths, eff, note)
+        if note is not None:
+            expressed = quant.expression(count.final_em(combos, lengths), quant.length_maps(note, "isoform"))
+            out |= {f"{f}_isoforms": quant.exported(expressed, f, "isoform") for f in quant.FORMATS[a.format]}
     if level_needs_annotation:
         genes = gene.transcripts_to_genes(note)
         gene_lengths = gene.gene_lengths(note, a.gene_length)
+        sets = gene.classified(combos, genes)
         out["gene_unique"] = tables.gene_unique_table(combos, genes, gene_lengths, note)
         out["gene_multi"] = tables.gene_multi_table(combos, genes, gene_lengths, quant.length_maps(note, "gene").select("key", F.col("eff_length").alias("length")))
-        expressed = quant.expression(gene.final_em(gene.classified(combos, genes), gene_lengths), quant.length_maps(note, "gene"))
-        for f in quant.FORMATS[a.format]:
-            out[f"{f}_genes"] = quant.EXPORTERS[f](expressed)
+        expressed = quant.expression(gene.final_em(sets, gene_lengths), quant.length_maps(note, "gene"))
+        out |= {f"{f}_genes": quant.exported(expressed, f) for f in quant.FORMATS[a.format]}
     out["summary"] = count.summary(combos, lengths)
     for name, df in out.items():
         files.write_per_sample(df, a.output, name)
+    events = count.multi_events(combos)
+    if sets is not None:
+        events = events.unionByName(count.multi_events(gene.gene_combinations(sets), "gene"))
+    files.write_text_per_sample(count.summary_lines(out["summary"], events), a.output, "summary_text")
+    held.drop()
+    if noted:
+        noted.drop()
 
 
 def _hits(spark: SparkSession, inputs: str) -> DataFrame:
@@ -115,16 +129,25 @@ def _mpileup(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _quant(spark: SparkSession, a: argparse.Namespace) -> None:
-    level = "gene" if a.level == "gene" else "isoform"
-    key = "Gene" if level == "gene" else "Transcript"
-    rows = counts.read_counts(spark, paths.resolve_inputs(a.input, [counts.SUFFIXES[level]]), level)
-    lengths = quant.length_maps(annotation.load_annotation(spark, a.annotation), level)
-    for column in quant.count_types(a.count_type, rows.columns):
-        expressed = quant.expression(counts.long_counts(rows, column, key), lengths)
-        if a.matrix:
-            files.write_single_csv(quant.sample_matrix(expressed, values=("n", "tpm", "rpkm")), os.path.join(a.output, f"matrix.{column}.csv"), order=["key"])
-        for f in quant.FORMATS[a.format]:
-            files.write_per_sample(quant.EXPORTERS[f](expressed), a.output, f"{f}.{column}")
+    noted = Written(annotation.load_annotation(spark, a.annotation))
+    found, note = 0, noted.df
+    for level in ("gene", "isoform") if a.level == "both" else (a.level,):
+        inputs = paths.resolve_inputs(a.input, [counts.SUFFIXES[level]])
+        if not inputs:
+            continue
+        found += 1
+        key = "Gene" if level == "gene" else "Transcript"
+        tag = f".{level}" if a.level == "both" else ""
+        rows, lengths = counts.read_counts(spark, inputs, level), quant.length_maps(note, level)
+        for column in quant.count_types(a.count_type, rows.columns):
+            expressed = quant.expression(counts.long_counts(rows, column, key), lengths)
+            if a.matrix:
+                files.write_single_csv(quant.sample_matrix(expressed, values=("n", "tpm", "rpkm")), os.path.join(a.output, f"matrix{tag}.{column}.csv"), order=["key"])
+            for f in quant.FORMATS[a.format]:
+                files.write_per_sample(quant.exported(expressed, f, level), a.output, f"{f}{tag}.{column}")
+    noted.drop()
+    if not found:
+        raise SystemExit(f"no count files: {a.input}")
 
 
 def _annotate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -158,7 +181,7 @@ def parser() -> argparse.ArgumentParser:
     command("fastx", _fastx, out, (("--kind",), {"choices": ["records", "unmapped", "fasta", "fastq"], "default": "records"}), (("--to",), {"choices": ["fasta", "fastq"], "default": "fasta"}))
     command("sort", _sort, out, (("--by",), {"choices": ["coord", "name"], "default": "coord"}))
     command("mpileup", _mpileup, out, fasta, (("--min-depth",), {"type": int, "default": 0}), (("--base-quality",), {"type": int, "default": 30}))
-    command("quant", _quant, out, formats, (("--annotation",), {"required": True}), (("--level",), {"choices": ["gene", "isoform"], "default": "gene"}), (("--count-type",), {}), (("--matrix",), {"action": "store_true"}))
+    command("quant", _quant, out, formats, (("--annotation",), {"required": True}), (("--level",), {"choices": ["gene", "isoform", "both"], "default": "gene"}), (("--count-type",), {}), (("--matrix",), {"action": "store_true"}))
     command("annotate", _annotate, (("--tracks",), {"action": "store_true"}))
     return p
 

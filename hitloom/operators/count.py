@@ -131,6 +131,23 @@ def summary(combos: DataFrame, lengths: DataFrame) -> DataFrame:
     return out.withColumn("final_em", F.col("unique_mapped") + F.col("multi_em")).withColumn("final_eq", F.col("unique_mapped") + F.col("multi_equal"))
 
 
+def multi_events(combos: DataFrame, level: str = "isoform") -> DataFrame:
+    """``(sample_id, level, events, reads, reads_per_event)``: combinations of several names and the reads they hold, for samples that have any."""
+    several = combos.where(_multi()).groupBy(BY).agg(F.count("*").alias("events"), F.sum("n").alias("reads"))
+    return several.select(BY, F.lit(level).alias("level"), "events", "reads", F.round(F.col("reads") / F.col("events"), 2).alias("reads_per_event"))
+
+
+def summary_lines(summary: DataFrame, events: DataFrame) -> DataFrame:
+    """``(sample_id, line_no, value)``: a report in text for each sample, from ``summary`` and ``multi_events``."""
+    columns = [c for c in summary.columns if c != BY]
+    stats = summary.select(BY, F.posexplode(F.array(*[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in columns])).alias("line_no", "value"))
+    titles = {"events": "level multi-mapping events: ", "reads": "level total multi-mapped reads: ", "reads_per_event": "level average reads per multi-mapping event: "}
+    named = F.array(*[F.concat(F.initcap("level"), F.lit("-" + title), F.format_string("%.2f" if c == "reads_per_event" else "%d", c)) for c, title in titles.items()])
+    after = F.when(F.col("level") == "isoform", 100).otherwise(200)
+    multi = events.select(BY, after.alias("after"), F.posexplode(named).alias("i", "value")).select(BY, (F.col("after") + F.col("i")).alias("line_no"), "value")
+    return stats.unionByName(multi)
+
+
 def multi_mapped_reads(records: DataFrame, names: str = "ref_names", read: str = "header", by: str = BY) -> DataFrame:
     """``(sample_id, key, read)``: the reads of each combination of several names, one row per read, so that no combination's reads are gathered."""
     rows = records.select(F.col(by).alias(BY), F.col(read).alias("read"), clean_names(F.col(names)).alias("ids")).where(_multi())

@@ -107,6 +107,11 @@ FORMATS = {"rsem": ("rsem",), "salmon": ("salmon",), "kallisto": ("kallisto",),
 EXPORTERS = {"rsem": export_rsem, "salmon": export_salmon, "kallisto": export_kallisto, "featureCounts": export_featurecounts}
 
 
+def exported(expressed: DataFrame, layout: str, level: str = "gene") -> DataFrame:
+    """``expressed`` in one of the layouts; that of RSEM names its key by level."""
+    return export_rsem(expressed, level) if layout == "rsem" else EXPORTERS[layout](expressed)
+
+
 def count_types(choice: str | None, present: Sequence[str]) -> list[str]:
     """Count columns to export: one, ``all`` of those present, or a comma-separated list; by default Final_EM."""
     if not choice:

@@ -51,6 +51,11 @@ def write_per_sample(df: DataFrame, folder: str, suffix: str, sep: str = ",", by
     df.repartition(by).write.mode("overwrite").partitionBy(by).option("header", True).option("sep", sep).csv(f"{folder}/{suffix}")
 
 
+def write_text_per_sample(lines: DataFrame, folder: str, suffix: str, by: str = BY) -> None:
+    """One folder per sample with a text file of the column ``value`` in the order of ``line_no``. For short reports."""
+    lines.repartition(by).sortWithinPartitions(by, "line_no").select(by, "value").write.mode("overwrite").partitionBy(by).text(f"{folder}/{suffix}")
+
+
 def missing_outputs(df: DataFrame, outputs: dict[str, str]) -> list[str]:
     """Keys of ``outputs`` whose path isn't there yet: what a resumed run has to do. A folder counts once its success mark is written."""
     out = []

@@ -39,14 +39,35 @@ def record_columns(line1: Column, line2: Column) -> dict[str, Column]:
     }
 
 
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(file_name, value)``: the text of the first member of each archive ``(file_name, content)``; an empty archive is an error."""
+    for b in batches:
+        for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                members = archive.namelist()
+                if not members:
+                    raise ValueError(f"empty archive: {name}")
+                text = archive.read(members[0]).decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([text])], names=["file_name", "value"])
+
+
 def read_records(spark: SparkSession, paths: str | list[str], stop_at_blank: bool = False) -> DataFrame:
-    """Records of text files (plain or ``.gz``), ``record_no`` being the pair's place in its file.
+    """Records of text files (plain, ``.gz``, or the first member of a ``.zip``), ``record_no`` being the pair's place in its file.
 
     Lines pair by parity; a pair with a blank line, with too few fields (2 and 5) or without its second line is skipped, or,
     with ``stop_at_blank``, ends the file at its first blank line. A number that is none is an error; use
     ``sources.rejects`` to set such rows apart.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.split(F.replace("value", F.lit("\r"), F.lit("")), "\n").alias("l"))
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    zipped, plain = [p for p in listed if p.endswith(".zip")], [p for p in listed if not p.endswith(".zip")]
+    texts = []
+    if plain:
+        texts.append(spark.read.text(plain, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value"))
+    if zipped:
+        raw = spark.read.format("binaryFile").load(zipped).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
+        texts.append(raw.mapInArrow(_unzipped, "file_name string, value string"))
+    whole = texts[0] if len(texts) == 1 else texts[0].unionByName(texts[1])
+    files = whole.select("file_name", F.split(F.replace("value", F.lit("\r"), F.lit("")), "\n").alias("l"))
     if stop_at_blank:
         first = F.array_position(F.transform("l", F.trim), "")
         files = files.withColumn("l", F.when(first > 0, F.slice("l", F.lit(1), (first - 1).cast("int"))).otherwise(F.col("l")))
