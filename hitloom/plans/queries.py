@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignments, annotation, counting, problems, utilities
+from . import alignments, annotation, counting, formats, problems, utilities
 
-_MODULES = (counting, alignments, annotation, utilities, problems)
+_MODULES = (counting, alignments, annotation, utilities, formats, problems)
 
 
 def queries() -> dict:
