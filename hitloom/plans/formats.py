@@ -54,7 +54,7 @@ def _read_fastq(s: SparkSession, d: str) -> DataFrame:
 
 def _records_text(s: SparkSession, d: str) -> DataFrame:
     """Records of fanse_packed with one hit, as two lines each."""
-    rows = I.read(s, d, "fanse_packed").where(F.col("ref_names").rlike(r"^[\w.:-]+$") & F.col("strands").isin("F", "R") & F.col("positions").rlike("^[0-9]{1,9}$") & F.col("mismatches").isNotNull())
+    rows = I.read(s, d, "fanse_packed").where(F.col("ref_names").rlike(r"^[\w.:-]+\z") & F.col("strands").isin("F", "R") & F.col("positions").rlike(r"^[0-9]{1,9}\z") & F.col("mismatches").isNotNull())
     first, second = _tabbed("packed_id", F.lit("ACGT")), _tabbed("strands", "ref_names", "mismatches", "positions", F.lit(1))
     return rows.select(F.concat(first, F.lit("\n"), second).alias("value"))
 
