@@ -24,7 +24,7 @@ from ..session import Written
 #: A node with more than this share of all edges is a hub. At most 2 / HUB_SHARE nodes can be hubs, so their table may be broadcast.
 HUB_SHARE = 0.002
 #: Up to this many edges the smallest neighbours of all nodes, at most one row per end of an edge, are broadcast.
-BROADCAST_EDGES = 200_000
+BROADCAST_EDGES = 20_000
 
 
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
